@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -61,7 +62,7 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = S
         col = batch.column(batch.schema.get_field_index(text))
         ends = [0]
         at = size = 0
-        lengths = pa.compute.fill_null(pa.compute.binary_length(col), 0).to_pylist()
+        lengths = pc.fill_null(pc.binary_length(col), 0).to_pylist()
         for i, n in enumerate(lengths):
             if size and size + n > limit:
                 ends.append(i)
@@ -91,11 +92,11 @@ class Memo:
     def __init__(self, size: int) -> None:
         self.size, self.new, self.old = size, {}, {}
 
-    def holding(self, keys: list, f: Callable) -> dict:
+    def holding(self, keys: Iterable, f: Callable) -> dict:
         """A dict that has all of ``keys``."""
         return self.holding_all(keys, lambda missing: {k: f(k) for k in missing})
 
-    def holding_all(self, keys: list, f: Callable) -> dict:
+    def holding_all(self, keys: Iterable, f: Callable) -> dict:
         """The same; ``f`` gets all keys that are missing at once."""
         if len(self.new) > self.size:
             self.new, self.old = {}, self.new
