@@ -7,15 +7,26 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import tokencount
+from . import lexicon, packing, tokencount
 from .common import documents
 
 
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), window=2048, end_id=1)
+
+
+def op2_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, path = documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json")
+    return lexicon.encode_decode(docs, path, lexicon.build_lexicon(docs, path))
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.count_tokens(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_packing": op1_packing,
+    "op2_bpe_codec": op2_bpe_codec,
     "op3_token_counts": op3_token_counts,
 }
 
