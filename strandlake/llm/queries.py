@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import lexicon, packing, tokencount
+from . import lexicon, packing, pii, tokencount
 from .common import documents
 
 
@@ -24,10 +24,15 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.count_tokens(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.scan(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_bpe_codec": op2_bpe_codec,
     "op3_token_counts": op3_token_counts,
+    "op7_pii": op7_pii,
 }
 
 ORACLE_SQL: dict[str, str] = {}
