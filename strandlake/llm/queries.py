@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import lexicon, packing, pii, quality_model, quality_rules, simhash, tokencount
+from . import ann, lexicon, packing, pii, quality_model, quality_rules, simhash, tokencount
 from .common import documents
 
 
@@ -29,6 +29,11 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.rules(documents(spark, sf_dir), quality_rules.trusted_ids(labels))
 
 
+def op5_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return ann.search(vectors, vectors.where("vec_id % 100 = 0"), k=10)
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir), distance=4, width=4)
 
@@ -47,6 +52,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_bpe_codec": op2_bpe_codec,
     "op3_token_counts": op3_token_counts,
     "op4_quality_rules": op4_quality_rules,
+    "op5_ann": op5_ann,
     "op6_simhash": op6_simhash,
     "op7_pii": op7_pii,
     "op10_quality_classifier": op10_quality_classifier,
