@@ -28,7 +28,7 @@ from .bpe import ByteMerger
 from .common import Memo, map_texts, materialize
 
 #: Rows of one salt, about: the unit in which ranks are counted and left-over rests are laid end to end.
-SALT_ROWS = 50_000
+SALT_ROWS = 2_000
 
 
 class WordTokenizer:
