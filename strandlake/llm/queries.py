@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, lexicon, packing, pii, quality_model, quality_rules, simhash, suffix_dedup, tokencount
+from . import ann, lexicon, ngram_lm, packing, pii, quality_model, quality_rules, simhash, suffix_dedup, tokencount
 from .common import documents
 
 
@@ -42,6 +42,10 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.scan(documents(spark, sf_dir))
 
 
+def op8_ngram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_lm.score(documents(spark, sf_dir), modulus=7, remainder=2)
+
+
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(documents(spark, sf_dir))
 
@@ -59,6 +63,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_ann": op5_ann,
     "op6_simhash": op6_simhash,
     "op7_pii": op7_pii,
+    "op8_ngram_lm": op8_ngram_lm,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_quality_classifier": op10_quality_classifier,
 }
