@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -18,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD_RE, held_out, map_texts
+from .common import WORD_RE, held_out, map_texts, slices
 
 #: Labelled documents that a model is fitted on at most: the first by a hash of the id.
 SAMPLE_ROWS = 5_000
@@ -214,3 +215,16 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
 
     out = map_texts(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), kernel, "doc_id long, score double")
     return out.select("doc_id", held_out(F.col("doc_id"), 5, 0).alias("held_out"), "score", F.when(F.col("score") >= threshold, 1).otherwise(0).alias("predicted"))
+
+
+def keep_good(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` that score at least ``threshold``, with all their columns."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vectors = WordVectors(sent.value.context)
+        for batch, texts in slices(batches):
+            x = np.array([vectors.pool(t) for t in texts], float).reshape(len(texts), DIM + 1)
+            yield batch.filter(pa.array(sent.value.network.probabilities(x) >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)

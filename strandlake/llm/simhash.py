@@ -208,8 +208,24 @@ def near_duplicates(docs: DataFrame, distance: int = 4, width: int = 4) -> DataF
     """
     rows = materialize(fingerprints(docs, width), "simhash")
     nodes = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-nodes")
-    parts = connected_components(links(nodes.select("fp"), distance)).withColumnRenamed("node", "fp")
-    placed = nodes.join(parts, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    placed = _roots(nodes, distance)
     of_root = placed.groupBy("root").agg(F.min("least").alias("component_id"))
     named = placed.select("fp", "root").join(of_root, "root").select("fp", "component_id")
     return rows.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def _roots(nodes: DataFrame, distance: int) -> DataFrame:
+    """``nodes`` (fp and more) with root, the least fingerprint of the component."""
+    parts = connected_components(links(nodes.select("fp"), distance)).withColumnRenamed("node", "fp")
+    return nodes.join(parts, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+
+def keep_one(docs: DataFrame, distance: int = 4, width: int = 4) -> DataFrame:
+    """One row of each component, with all its columns: that of the smallest doc_id (null last); of rows with the same id and text one."""
+    keyed = docs.withColumn("__key", F.xxhash64("doc_id", F.lit("/"), "text"))
+    rows = materialize(fingerprints(keyed.select(F.col("__key").alias("doc_id"), "text"), width).withColumnRenamed("doc_id", "key"), "simhash")
+    ids = keyed.select(F.col("__key").alias("key"), "doc_id").distinct()
+    least = rows.distinct().join(ids, "key").groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("least"))
+    placed = _roots(materialize(least, "simhash-nodes"), distance)
+    stays = placed.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.key").alias("__key"))
+    return keyed.join(stays, "__key", "left_semi").dropDuplicates(["__key"]).drop("__key")

@@ -18,9 +18,10 @@ than short ones; the few bytes before the first and after the last block settle
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -238,6 +239,21 @@ def repeated_spans(base: DataFrame) -> DataFrame:
     return ranges.select("key", span.alias("span")).groupBy("key").agg(F.collect_set("span").alias("spans"))
 
 
+def _kept(raw: bytes, spans: Iterable[dict]) -> tuple[list[bytes], int, int]:
+    """What is left of a text, the bytes removed, and the maximal runs of them."""
+    left, gone, runs_, end = [], 0, 0, 0
+    for i, (low, high) in enumerate(sorted((s["low"], s["high"]) for s in spans)):
+        if not i or low > end:
+            left.append(raw[end:low])
+            runs_ += 1
+            gone += high - low
+        elif high > end:
+            gone += high - end
+        end = max(end, high)
+    left.append(raw[end:])
+    return left, gone, runs_
+
+
 def remove_repeats(docs: DataFrame, text_out: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of each row; with ``text_out`` also kept, the text that is left.
 
@@ -254,17 +270,8 @@ def remove_repeats(docs: DataFrame, text_out: bool = False) -> DataFrame:
         for batch in batches:
             n, removed, many, shas, kept = [], [], [], [], []
             for text, found in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                raw, left, gone, runs_ = text.encode(), [], 0, 0
-                end = -1
-                for low, high in sorted((s["low"], s["high"]) for s in found or ()):
-                    if low > end:
-                        left.append(raw[max(end, 0) : low])
-                        runs_ += 1
-                        gone += high - low
-                    elif high > end:
-                        gone += high - end
-                    end = max(end, high)
-                left.append(raw[max(end, 0) :])
+                raw = text.encode()
+                left, gone, runs_ = _kept(raw, found or ())
                 rest = b"".join(left)
                 n.append(len(raw))
                 removed.append(gone)
@@ -278,3 +285,16 @@ def remove_repeats(docs: DataFrame, text_out: bool = False) -> DataFrame:
 
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept string" * text_out
     return base.join(spans, "key", "left").select("doc_id", "text", "spans").mapInArrow(cut, schema)
+
+
+def strip_repeats(docs: DataFrame) -> DataFrame:
+    """``docs`` with repeated passages cut out of text, and all other columns; a text that is all repeats becomes empty, a null stays null."""
+    keyed = docs.withColumn("__key", F.xxhash64("doc_id", F.lit("/"), F.coalesce("text", F.lit(""))))
+    spans = repeated_spans(keyed.select(F.col("__key").alias("key"), F.coalesce("text", F.lit("")).alias("text")))
+
+    @F.pandas_udf("string")
+    def kept(texts: pd.Series, found: pd.Series) -> pd.Series:
+        return pd.Series([t if s is None else b"".join(_kept(t.encode(), s)[0]).decode("utf-8", "ignore") for t, s in zip(texts, found, strict=True)])
+
+    joined = keyed.join(spans.withColumnRenamed("key", "__key"), "__key", "left")
+    return joined.withColumn("text", kept("text", "spans")).select(docs.columns)
