@@ -1,4 +1,4 @@
-"""The registry of named queries; each module of ``plans`` adds its own."""
+"""The registry of named queries; each module of ``plans`` adds its own on import."""
 
 from __future__ import annotations
 
@@ -6,10 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import cohort, graphs, recruitment, sequences, statistics, tables  # noqa: F401
+from .registry import ORACLE, QUERIES
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLE)
