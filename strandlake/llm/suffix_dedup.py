@@ -296,5 +296,5 @@ def strip_repeats(docs: DataFrame) -> DataFrame:
     def kept(texts: pd.Series, found: pd.Series) -> pd.Series:
         return pd.Series([t if s is None else b"".join(_kept(t.encode(), s)[0]).decode("utf-8", "ignore") for t, s in zip(texts, found, strict=True)])
 
-    joined = keyed.join(spans.withColumnRenamed("key", "__key"), "__key", "left")
-    return joined.withColumn("text", kept("text", "spans")).select(docs.columns)
+    joined = keyed.join(spans.select(F.col("key").alias("__key"), F.col("spans").alias("__spans")), "__key", "left")
+    return joined.withColumn("text", kept("text", "__spans")).select(docs.columns)
