@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, slices
+from .common import drop_materialized, materialize, slices
 
 LENGTH = 200
 K = 64  # bytes of an anchor
@@ -208,8 +208,11 @@ def repeated_spans(base: DataFrame) -> DataFrame:
     """key, spans (of repeated bytes, unordered, may overlap) for each key of ``base`` (key, text) that has any."""
     found = materialize(anchors(base), "suffix-anchors")
     often = found.groupBy("anchor").agg(F.count("*").alias("n"), F.min("run").alias("a"), F.max("run").alias("b"))
-    often = often.where("n > 1").select("anchor", (F.col("a") != F.col("b")).alias("several"))
+    # written, so that the join reads two plain shuffles, of which the optimiser can split a hot anchor's
+    often = materialize(often.where("n > 1").select("anchor", (F.col("a") != F.col("b")).alias("several")), "suffix-often")
     occurs = materialize(found.join(often, "anchor"), "suffix-occurrences")
+    drop_materialized(found)
+    drop_materialized(often)
     mixed = occurs.where("several")
     classes = mixed.groupBy("anchor", "run").agg(F.count("*").alias("n"), F.min(F.struct("key", "start", "count", "ahead")).alias("at"))
     wanted = classes.select("at.*", "anchor", "run").groupBy("key").agg(F.collect_list(F.struct("anchor", "run", "start", "count", "ahead")).alias("wanted"))
