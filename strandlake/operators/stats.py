@@ -13,10 +13,14 @@ def value_counts(df: DataFrame, value: str, keys: list[str]) -> DataFrame:
     return c.select("*", F.sum("m").over(w.orderBy(value).rowsBetween(Window.unboundedPreceding, 0)).alias("upto"), F.sum("m").over(w).alias("total"))
 
 
+def at_rank(q: float):
+    """Index round((n - 1) q) of n = total sorted values, as a column; halves round up."""
+    return F.floor((F.col("total") - 1) * F.lit(q) + 0.5)
+
+
 def nearest_rank(df: DataFrame, value: str, q: float, keys: list[str], name: str) -> DataFrame:
-    """The value at index round((n - 1) q) of each group's sorted values; halves round up."""
-    at = F.floor((F.col("total") - 1) * F.lit(q) + 0.5)
-    return value_counts(df, value, keys).where(F.col("upto") > at).groupBy(*keys).agg(F.min(value).alias(name))
+    """The value at index round((n - 1) q) of each group's sorted values."""
+    return value_counts(df, value, keys).where(F.col("upto") > at_rank(q)).groupBy(*keys).agg(F.min(value).alias(name))
 
 
 def upper_median(df: DataFrame, value: str, keys: list[str], name: str) -> DataFrame:

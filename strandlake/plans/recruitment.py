@@ -5,11 +5,13 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import seqs
 from ..operators import kmers as K
 from ..operators import recruit as R
+from ..operators.stats import at_rank
 from .registry import PASSAGES, READS, Tables, query, words_sql
 from .sequences import MD5, reads_of
 
@@ -131,8 +133,6 @@ f AS (SELECT source, count(*) AS found FROM d JOIN q USING (w) GROUP BY 1)
 SELECT source, found, round(found::DOUBLE / n, 9) AS containment, round(power(found::DOUBLE / n, 1.0 / {WORD}), 9) AS identity, row_number() OVER (ORDER BY found DESC, source) AS rank FROM f, n""")
 def containment_identity(spark, sf_dir):
     """Sources ranked by the share of the seeds' words that they hold, and the identity it stands for."""
-    from pyspark.sql import Window
-
     q = bait_of(spark, sf_dir).select("kmer")
     docs = Tables(spark, sf_dir).documents.select("doc_id", "source")
     found = words_of(spark, sf_dir).join(R.sized(q), "kmer", "left_semi").join(docs, "doc_id").select("source", "kmer").distinct().groupBy("source").agg(F.count("*").alias("found"))
@@ -173,14 +173,16 @@ SELECT a.doc_id, sampled, round(kinds::DOUBLE / sampled, 9) AS distinct_share, m
 FROM a JOIN o USING (doc_id) GROUP BY ALL""")
 def depth_features(spark, sf_dir):
     """Per read: words, distinct share, and nearest-rank median and spread of the counts that are two or more."""
-    from ..operators.stats import nearest_rank
-
     words = words_of(spark, sf_dir).select("doc_id", "kmer")
-    d = words.join(words.groupBy("kmer").agg(F.count("*").alias("n")), "kmer")
-    # words of a read by count, so a quantile needs a read's counts, not its words
-    base = d.groupBy("doc_id", "kmer").agg(F.count("*").alias("m"), F.first("n").alias("n")).groupBy("doc_id").agg(F.sum("m").alias("sampled"), F.count("*").alias("kinds"))
-    q = {x: nearest_rank(d.where("n >= 2"), "n", x, ["doc_id"], f"q{int(100 * x)}") for x in (0.25, 0.5, 0.75)}
-    out = base.join(q[0.25], "doc_id").join(q[0.5], "doc_id").join(q[0.75], "doc_id")
+    own = words.groupBy("doc_id", "kmer").agg(F.count("*").alias("m"))
+    d = own.join(own.groupBy("kmer").agg(F.sum("m").alias("n")), "kmer")
+    # from here on a read has as many rows as its words have different counts
+    c = d.groupBy("doc_id", "n").agg(F.sum("m").alias("m"), F.count("*").alias("kinds"))
+    w = Window.partitionBy("doc_id")
+    deep = F.when(F.col("n") >= 2, F.col("m")).otherwise(0)
+    c = c.select("*", F.sum(deep).over(w.orderBy("n").rowsBetween(Window.unboundedPreceding, 0)).alias("upto"), F.sum(deep).over(w).alias("total"))
+    at = lambda q: F.min(F.when((F.col("n") >= 2) & (F.col("upto") > at_rank(q)), F.col("n")))
+    out = c.groupBy("doc_id").agg(F.sum("m").alias("sampled"), F.sum("kinds").alias("kinds"), at(0.25).alias("q25"), at(0.5).alias("q50"), at(0.75).alias("q75")).where("q50 is not null")
     return out.select("doc_id", "sampled", F.round(F.col("kinds") / F.col("sampled"), 9).alias("distinct_share"), F.col("q50").alias("median"), F.round((F.col("q75") - F.col("q25")) / F.col("q50"), 9).alias("spread"))
 
 
@@ -189,8 +191,6 @@ r AS (SELECT *, pos - row_number() OVER (PARTITION BY doc_id, item_id, diag ORDE
 SELECT doc_id, item_id, diag, min(pos) AS start, max(pos) + {WORD} - min(pos) AS bases FROM r GROUP BY doc_id, item_id, diag, g""")
 def shared_kmer_blocks(spark, sf_dir):
     """Diagonal runs that reads and passages share on the same strand."""
-    from pyspark.sql import Window
-
     reads = K.kmers(reads_of(spark, sf_dir), WORD)
     seeds = K.kmers(seqs.project_reads(Tables(spark, sf_dir).benchmark.withColumnRenamed("item_id", "doc_id")), WORD).select("kmer", "fwd", F.col("doc_id").alias("item_id"), F.col("pos").alias("at"))
     p = reads.join(R.sized(seeds), ["kmer", "fwd"]).select("doc_id", "item_id", "pos", (F.col("pos") - F.col("at")).alias("diag"))
