@@ -207,10 +207,14 @@ def _verdicts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def repeated_spans(base: DataFrame) -> DataFrame:
     """key, spans (of repeated bytes, unordered, may overlap) for each key of ``base`` (key, text) that has any."""
     found = materialize(anchors(base), "suffix-anchors")
-    often = found.groupBy("anchor").agg(F.count("*").alias("n"), F.min("run").alias("a"), F.max("run").alias("b"))
+    # runs are counted before anchors, so that a run of many copies is one row here
+    counted = found.groupBy("anchor", "run").agg(F.count("*").alias("n"))
+    often = counted.groupBy("anchor").agg(F.sum("n").alias("all"), F.count("*").alias("runs"), F.max(F.struct("n", "run")).alias("top"))
+    often = often.where("all > 1").select("anchor", (F.col("runs") > 1).alias("several"), F.when(F.col("top.n") > 1, F.col("top.run")).alias("top"))
     # written, so that the join reads two plain shuffles, of which the optimiser can split a hot anchor's
-    often = materialize(often.where("n > 1").select("anchor", (F.col("a") != F.col("b")).alias("several")), "suffix-often")
-    occurs = materialize(found.join(often, "anchor"), "suffix-occurrences")
+    often = materialize(often, "suffix-often")
+    occurs = found.join(often, "anchor").withColumn("whole", F.coalesce(F.col("run") == F.col("top"), F.lit(False))).drop("top")
+    occurs = materialize(occurs, "suffix-occurrences")
     drop_materialized(found)
     drop_materialized(often)
     mixed = occurs.where("several")
@@ -234,9 +238,10 @@ def repeated_spans(base: DataFrame) -> DataFrame:
     settled = texts.repartition("anchor").sortWithinPartitions("anchor", "run")
     settled = settled.mapInArrow(_verdicts, "anchor long, run long, ranges array<struct<low: int, high: int>>")
     all_of = F.array(F.struct(F.lit(0).alias("low"), F.col("count").alias("high")))
-    several = mixed.join(classes.select("anchor", "run", "n").join(settled, ["anchor", "run"], "left"), ["anchor", "run"])
+    # an anchor's most frequent run, if it has copies, is settled; only the others look up their verdict
+    several = mixed.where("not whole").join(classes.select("anchor", "run", "n").join(settled, ["anchor", "run"], "left"), ["anchor", "run"])
     several = several.select("key", "start", F.when(F.col("n") > 1, all_of).otherwise(F.col("ranges")).alias("ranges"))
-    single = occurs.where("not several").select("key", "start", all_of.alias("ranges"))
+    single = occurs.where("whole or not several").select("key", "start", all_of.alias("ranges"))
     ranges = single.unionByName(several).select("key", "start", F.explode("ranges").alias("r"))
     span = F.struct((F.col("start") + F.col("r.low")).alias("low"), (F.col("start") + F.col("r.high") + (LENGTH - 1)).alias("high"))
     return ranges.select("key", span.alias("span")).groupBy("key").agg(F.collect_set("span").alias("spans"))
