@@ -240,11 +240,10 @@ def repeated_spans(base: DataFrame) -> DataFrame:
     all_of = F.array(F.struct(F.lit(0).alias("low"), F.col("count").alias("high")))
     # an anchor's most frequent run, if it has copies, is settled; only the others look up their verdict
     several = mixed.where("not whole").join(classes.select("anchor", "run", "n").join(settled, ["anchor", "run"], "left"), ["anchor", "run"])
-    several = several.select("key", "start", F.when(F.col("n") > 1, all_of).otherwise(F.col("ranges")).alias("ranges"))
-    single = occurs.where("whole or not several").select("key", "start", all_of.alias("ranges"))
-    ranges = single.unionByName(several).select("key", "start", F.explode("ranges").alias("r"))
-    span = F.struct((F.col("start") + F.col("r.low")).alias("low"), (F.col("start") + F.col("r.high") + (LENGTH - 1)).alias("high"))
-    return ranges.select("key", span.alias("span")).groupBy("key").agg(F.collect_set("span").alias("spans"))
+    span = lambda low, high: F.struct((F.col("start") + low).alias("low"), (F.col("start") + high + (LENGTH - 1)).alias("high")).alias("span")
+    several = several.select("key", "start", F.explode(F.when(F.col("n") > 1, all_of).otherwise(F.col("ranges"))).alias("r"))
+    single = occurs.where("whole or not several").select("key", span(F.lit(0), F.col("count")))
+    return single.unionByName(several.select("key", span(F.col("r.low"), F.col("r.high")))).groupBy("key").agg(F.collect_set("span").alias("spans"))
 
 
 def _kept(raw: bytes, spans: Iterable[dict]) -> tuple[list[bytes], int, int]:
