@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import cohort, graphs, recruitment, sequences, statistics, tables  # noqa: F401
+from . import cohort, graphs, models, recruitment, sequences, statistics, tables  # noqa: F401
 from .registry import ORACLE, QUERIES
 
 
