@@ -150,9 +150,9 @@ def competitive_assign(spark, sf_dir):
     return G.pick_winner(s, ["l_orderkey"], "l_suppkey", "score")
 
 
-@query("anchor_spans", "WITH s AS (SELECT l_suppkey AS a, lead(l_suppkey) OVER w AS b, epoch(lead(l_shipdate) OVER w)::BIGINT // 86400 - epoch(l_shipdate)::BIGINT // 86400 AS d FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_shipdate, l_linenumber)) SELECT a, b, count(*) AS spans, min(d) AS shortest, max(d) AS longest FROM s WHERE b IS NOT NULL GROUP BY ALL")
+@query("anchor_spans", "WITH s AS (SELECT l_suppkey AS a, lead(l_suppkey) OVER w AS b, epoch(lead(l_shipdate) OVER w)::BIGINT // 86400 - epoch(l_shipdate)::BIGINT // 86400 AS d FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_shipdate, l_linenumber, l_suppkey)) SELECT a, b, count(*) AS spans, min(d) AS shortest, max(d) AS longest FROM s WHERE b IS NOT NULL GROUP BY ALL")
 def anchor_spans(spark, sf_dir):
-    w = Window.partitionBy("l_orderkey").orderBy("l_shipdate", "l_linenumber")
+    w = Window.partitionBy("l_orderkey").orderBy("l_shipdate", "l_linenumber", "l_suppkey")
     day = F.floor(F.unix_seconds(F.col("l_shipdate").cast("timestamp")) / 86400)
     t = Tables(spark, sf_dir).lineitem.select("l_orderkey", "l_shipdate", "l_linenumber", "l_suppkey", day.alias("day"))
     s = t.select(F.col("l_suppkey").alias("a"), F.lead("l_suppkey").over(w).alias("b"), (F.lead("day").over(w) - F.col("day")).alias("d")).where("b is not null")

@@ -107,11 +107,11 @@ def best_alignment_competition(spark, sf_dir):
     return A.compete(s, 10)
 
 
-@query("missing_links", "WITH n AS (SELECT l_suppkey AS a, lead(l_suppkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS b FROM lineitem), e AS (SELECT DISTINCT l_suppkey AS a, l_partkey % 100 AS b FROM lineitem) SELECT a, b, count(*) AS reads FROM n WHERE b IS NOT NULL AND (a, b) NOT IN (SELECT (a, b) FROM e) GROUP BY ALL")
+@query("missing_links", "WITH n AS (SELECT l_suppkey AS a, lead(l_suppkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_suppkey) AS b FROM lineitem), e AS (SELECT DISTINCT l_suppkey AS a, l_partkey % 100 AS b FROM lineitem) SELECT a, b, count(*) AS reads FROM n WHERE b IS NOT NULL AND (a, b) NOT IN (SELECT (a, b) FROM e) GROUP BY ALL")
 def missing_links(spark, sf_dir):
     """Adjacent alignments of a read whose link the graph lacks."""
     t = Tables(spark, sf_dir).lineitem
-    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber")
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_suppkey")
     n = t.select(F.col("l_suppkey").alias("a"), F.lead("l_suppkey").over(w).alias("b")).where("b is not null")
     have = t.select(F.col("l_suppkey").alias("a"), (F.col("l_partkey") % 100).alias("b")).distinct()
     return n.groupBy("a", "b").agg(F.count("*").alias("reads")).join(have, ["a", "b"], "left_anti")
