@@ -241,14 +241,15 @@ def pair_batches(docs: DataFrame, shares: int) -> DataFrame:
             first, second = np.divmod(pair, len(vocabulary))
             share = vocabulary[first] % shares
             cuts = np.searchsorted(share, np.arange(shares + 1))
-            table = (ids.copy(), np.packbits(held))
+            flags = np.packbits(held)
+            home = MARK % shares  # every document has a pair in the mark's share, which alone carries the ids
             rows: tuple[list, list, list] = ([], [], [])
             for s in np.flatnonzero(np.diff(cuts)).tolist():
                 part = slice(cuts[s], cuts[s + 1])
                 contexts, many = np.unique(first[part], return_counts=True)
                 successors, which = np.unique(second[part], return_inverse=True)
                 docs_, at = np.unique(d[part], return_inverse=True)
-                body = (vocabulary[contexts], _small(many), vocabulary[successors], _small(which), _small(docs_), _small(at), _small(n[part]), table)
+                body = (vocabulary[contexts], _small(many), vocabulary[successors], _small(which), _small(docs_), _small(at), _small(n[part]), (ids if s == home else None, flags, len(ids)))
                 rows[0].append(s)
                 rows[1].append(task | number)
                 rows[2].append(_pack(body))
@@ -281,9 +282,11 @@ def _build(rows: pd.DataFrame, shares: int) -> pd.DataFrame:
     v = np.concatenate([np.repeat(x[0], x[1]) for _, x in parts])
     w = np.concatenate([x[2][x[3]] for _, x in parts])
     n = np.concatenate([x[6].astype(np.int64) for _, x in parts])
-    held = np.concatenate([np.unpackbits(x[7][1], count=len(x[7][0])).astype(bool)[x[4][x[5]]] for _, x in parts])
+    held = np.concatenate([np.unpackbits(x[7][1], count=x[7][2]).astype(bool)[x[4][x[5]]] for _, x in parts])
     trie = Trie(v[~held], w[~held], n[~held])
     out: list[tuple[str, int, int, bytes]] = []
+    # pairs never seen, over all batches: batch, document, successor, count
+    unseen: tuple[list, list, list, list] = ([], [], [], [])
     at = 0
     for b, (_, _, _, _, docs, which, _, table) in parts:
         part = slice(at, at + len(which))
@@ -291,18 +294,21 @@ def _build(rows: pd.DataFrame, shares: int) -> pd.DataFrame:
         count, log, seen = trie.ask(v[part], w[part])
         m, k = n[part], len(docs)
         sums = [np.bincount(which, x, minlength=k) for x in (m, m * (count > 0), m * np.log10(count + 1.0), m * log)]
-        ids = [table[0][i] for i in docs.tolist()]
-        flags = np.unpackbits(table[1], count=len(table[0]))[docs]
-        out.append(("sums", 0, b, _pack((docs, ids, flags, _small(sums[0].astype(np.int64)), _small(sums[1].astype(np.int64)), sums[2], sums[3]))))
+        own = None if table[0] is None else ([table[0][i] for i in docs.tolist()], np.unpackbits(table[1], count=table[2])[docs])
+        out.append(("sums", 0, b, _pack((docs, own, _small(sums[0].astype(np.int64)), _small(sums[1].astype(np.int64)), sums[2], sums[3]))))
         gone = np.flatnonzero(~seen)
-        target = w[part][gone] % shares
-        order = np.argsort(target, kind="stable")
-        gone, target = gone[order], target[order]
-        cuts = np.searchsorted(target, np.arange(shares + 1))
-        for s in np.flatnonzero(np.diff(cuts)).tolist():
-            g = gone[cuts[s] : cuts[s + 1]]
-            words, code = np.unique(w[part][g], return_inverse=True)
-            out.append(("unseen", s, b, _pack((words, _small(code), _small(np.asarray(docs)[which[g]]), _small(m[g])))))
+        for column, x in zip(unseen, (np.full(len(gone), b), np.asarray(docs)[which[gone]].astype(np.int64), w[part][gone], m[gone]), strict=True):
+            column.append(x)
+    batch, doc, successor, many = (np.concatenate(x) for x in unseen)
+    target = successor % shares
+    order = np.lexsort((doc, batch, target))
+    batch, doc, successor, many, target = (x[order] for x in (batch, doc, successor, many, target))
+    cuts = np.searchsorted(target, np.arange(shares + 1))
+    for s in np.flatnonzero(np.diff(cuts)).tolist():
+        g = slice(cuts[s], cuts[s + 1])
+        words, code = np.unique(successor[g], return_inverse=True)
+        batches, which = np.unique(batch[g], return_inverse=True)
+        out.append(("unseen", s, -1, _pack((words, _small(code), batches, _small(which), _small(doc[g]), _small(many[g])))))
     share = int(rows["share"].iloc[0])
     out.append(("words", share, -1, _pack((trie.context_hashes, _small(trie.data["totals"])))))
     frame = pd.DataFrame(out, columns=["kind", "share", "batch", "body"])
@@ -315,21 +321,23 @@ def _unigrams(rows: pd.DataFrame) -> pd.DataFrame:
     """One share: sums of log10(c + 1) of the unseen pairs' successors, by batch and document."""
     words = [_unpack(b) for b in rows.loc[rows["kind"] == "words", "body"]]
     hashes, counts = (words[0][0], words[0][1].astype(np.int64)) if words else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-    out = []
-    for b, group in rows[rows["kind"] == "unseen"].groupby("batch"):
-        docs, logs, many = [], [], []
-        for body in group["body"]:
-            w, code, doc, m = _unpack(body)
-            i = np.searchsorted(hashes, w)
-            hit = i < len(hashes)
-            hit[hit] = hashes[i[hit]] == w[hit]
-            c = np.zeros(len(w))
-            c[hit] = counts[i[hit]]
-            docs.append(doc.astype(np.int64))
-            logs.append(m * np.log10(c + 1)[code])
-            many.append(m.astype(np.int64))
-        d, which = np.unique(np.concatenate(docs), return_inverse=True)
-        out.append((int(b), _pack((d, np.bincount(which, np.concatenate(logs)), np.bincount(which, np.concatenate(many)).astype(np.int64)))))
+    found: tuple[list, list, list, list] = ([], [], [], [])
+    for body in rows.loc[rows["kind"] == "unseen", "body"]:
+        w, code, batches, which, doc, m = _unpack(body)
+        i = np.searchsorted(hashes, w)
+        hit = i < len(hashes)
+        hit[hit] = hashes[i[hit]] == w[hit]
+        c = np.zeros(len(w))
+        c[hit] = counts[i[hit]]
+        for column, x in zip(found, (batches[which], doc.astype(np.int64), m * np.log10(c + 1)[code], m.astype(np.int64)), strict=True):
+            column.append(x)
+    out: list[tuple[int, bytes]] = []
+    if found[0]:
+        batch, doc, logs, many = (np.concatenate(x) for x in found)
+        for b in np.unique(batch).tolist():
+            own = batch == b
+            d, which = np.unique(doc[own], return_inverse=True)
+            out.append((b, _pack((d, np.bincount(which, logs[own]), np.bincount(which, many[own]).astype(np.int64)))))
     return pd.DataFrame({"kind": "backed", "batch": pd.Series([b for b, _ in out], dtype="int64"), "body": [x for _, x in out]})
 
 
@@ -357,10 +365,11 @@ def score(docs: DataFrame, modulus: int = 7, remainder: int = 2) -> DataFrame:
         ids: list = [None] * size
         flags, tokens, known = np.zeros(size, bool), np.zeros(size, np.int64), np.zeros(size, np.int64)
         logs, scores = np.zeros(size), np.zeros(size)
-        for d, own, flag, t, k, lg, sc in sums:
-            for i, x in zip(d.tolist(), own, strict=True):
-                ids[i] = x
-            flags[d] = flag
+        for d, own, t, k, lg, sc in sums:
+            if own is not None:
+                for i, x in zip(d.tolist(), own[0], strict=True):
+                    ids[i] = x
+                flags[d] = own[1]
             tokens[d] += t
             known[d] += k
             logs[d] += lg
