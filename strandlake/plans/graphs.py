@@ -28,12 +28,12 @@ def writer(spark):
 
 
 #: Oriented links between suppliers, read off line items.
-LINKS = "l AS (SELECT DISTINCT l_suppkey AS a, l_linenumber % 2 = 0 AS af, l_partkey % 100 AS b, l_quantity::INT % 2 = 0 AS bf FROM lineitem WHERE l_returnflag = 'R')"
+LINKS = "l AS (SELECT DISTINCT l_suppkey AS a, l_linenumber % 2 = 0 AS af, l_partkey % 100 AS b, l_quantity::INT % 2 = 0 AS bf FROM lineitem)"
 BOTH = LINKS + ", e AS (SELECT a, af, b, bf FROM l UNION SELECT b, NOT bf, a, NOT af FROM l)"
 
 
 def links(spark, sf_dir):
-    t = Tables(spark, sf_dir).lineitem.where("l_returnflag = 'R'")
+    t = Tables(spark, sf_dir).lineitem
     return t.select(F.col("l_suppkey").alias("a"), (F.col("l_linenumber") % 2 == 0).alias("a_fwd"), (F.col("l_partkey") % 100).alias("b"), (F.col("l_quantity").cast("int") % 2 == 0).alias("b_fwd")).distinct()
 
 
@@ -49,17 +49,24 @@ def degree_repeats(spark, sf_dir):
     return G.degrees(links(spark, sf_dir)).where("entries >= 2 or exits >= 2")
 
 
-ORDER_EDGES = "e AS (SELECT DISTINCT o_custkey % 300 AS a, (o_orderkey * 7) % 300 AS b FROM orders WHERE o_orderstatus = 'P' AND o_orderpriority = '1-URGENT')"
+#: Links from each order of a customer to the next.
+ORDER_EDGES = "e AS (SELECT a, b FROM (SELECT o_orderkey AS a, lead(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS b FROM orders) WHERE b IS NOT NULL)"
+#: A small, dense graph of customers' and orders' classes.
+DENSE_EDGES = "e AS (SELECT DISTINCT o_custkey % 300 AS a, (o_orderkey * 7) % 300 AS b FROM orders)"
 
 
 def order_edges(spark, sf_dir):
-    t = Tables(spark, sf_dir).orders.where("o_orderstatus = 'P' and o_orderpriority = '1-URGENT'")
-    return t.select((F.col("o_custkey") % 300).alias("a"), ((F.col("o_orderkey") * 7) % 300).alias("b")).distinct()
+    w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+    return Tables(spark, sf_dir).orders.select(F.col("o_orderkey").alias("a"), F.lead("o_orderkey").over(w).alias("b")).where("b is not null")
 
 
-@query("bubble_sites", f"WITH {ORDER_EDGES}, t AS (SELECT DISTINCT x.a AS l, x.b AS v, y.b AS r FROM e x JOIN e y ON x.b = y.a WHERE x.a <> x.b AND x.b <> y.b AND x.a <> y.b), n AS (SELECT l, r, count(*) AS n FROM t GROUP BY ALL) SELECT l AS left, r AS right, n + (EXISTS (SELECT 1 FROM e WHERE a = l AND b = r))::INT AS alleles FROM n WHERE n + (EXISTS (SELECT 1 FROM e WHERE a = l AND b = r))::INT >= 2".replace(" AS left", ' AS "left"').replace(" AS right", ' AS "right"'))
+def dense_edges(spark, sf_dir):
+    return Tables(spark, sf_dir).orders.select((F.col("o_custkey") % 300).alias("a"), ((F.col("o_orderkey") * 7) % 300).alias("b")).distinct()
+
+
+@query("bubble_sites", f"WITH {DENSE_EDGES}, t AS (SELECT DISTINCT x.a AS l, x.b AS v, y.b AS r FROM e x JOIN e y ON x.b = y.a WHERE x.a <> x.b AND x.b <> y.b AND x.a <> y.b), n AS (SELECT l, r, count(*) AS n FROM t GROUP BY ALL) SELECT l AS left, r AS right, n + (EXISTS (SELECT 1 FROM e WHERE a = l AND b = r))::INT AS alleles FROM n WHERE n + (EXISTS (SELECT 1 FROM e WHERE a = l AND b = r))::INT >= 2".replace(" AS left", ' AS "left"').replace(" AS right", ' AS "right"'))
 def bubble_sites(spark, sf_dir):
-    return G.bubbles(order_edges(spark, sf_dir))
+    return G.bubbles(dense_edges(spark, sf_dir))
 
 
 @query("connected_components", f"WITH RECURSIVE {ORDER_EDGES}, u AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r(node, root) AS (SELECT a, a FROM u UNION SELECT u.b, r.root FROM r JOIN u ON u.a = r.node WHERE r.root <= u.b) SELECT node, min(root) AS root FROM r GROUP BY 1")
@@ -67,11 +74,11 @@ def connected_components(spark, sf_dir):
     return G.components(order_edges(spark, sf_dir), writer(spark))
 
 
-@query("frontier_closure", f"WITH RECURSIVE {ORDER_EDGES}, r(node) AS (SELECT DISTINCT a FROM e WHERE a < 5 UNION SELECT e.b FROM r JOIN e ON e.a = r.node) SELECT node FROM r")
+@query("frontier_closure", f"WITH RECURSIVE {ORDER_EDGES}, r(node) AS (SELECT o_orderkey FROM orders WHERE o_orderpriority = '1-URGENT' UNION SELECT e.b FROM r JOIN e ON e.a = r.node) SELECT node FROM r")
 def frontier_closure(spark, sf_dir):
     """Nodes that directed links reach from the seeds."""
-    e = order_edges(spark, sf_dir)
-    return G.reachable(e, e.where("a < 5").select(F.col("a").alias("node")), writer(spark)).select("node")
+    seeds = Tables(spark, sf_dir).orders.where("o_orderpriority = '1-URGENT'").select(F.col("o_orderkey").alias("node"))
+    return G.reachable(order_edges(spark, sf_dir), seeds, writer(spark)).select("node")
 
 
 @query("unitig_compact")

@@ -76,7 +76,7 @@ def read_length_probe(spark, sf_dir):
     return stats.upper_median(p, "n", [], "median").withColumn("short_reads", F.col("median") <= 1000)
 
 
-@query("bridge_paths", "WITH e AS (SELECT DISTINCT o_custkey % 300 AS a, (o_orderkey * 7) % 300 AS b FROM orders WHERE o_orderstatus = 'P' AND o_orderpriority = '1-URGENT'), p AS (SELECT a, b, 1 AS n FROM e UNION ALL SELECT x.a, y.b, 2 FROM e x JOIN e y ON x.b = y.a UNION ALL SELECT x.a, z.b, 3 FROM e x JOIN e y ON x.b = y.a JOIN e z ON y.b = z.a) SELECT a, b, min(n) AS shortest, count(*) AS routes FROM p WHERE a <> b GROUP BY ALL")
+@query("bridge_paths", "WITH e AS (SELECT a, b FROM (SELECT o_orderkey AS a, lead(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS b FROM orders) WHERE b IS NOT NULL), p AS (SELECT a, b, 1 AS n FROM e UNION ALL SELECT x.a, y.b, 2 FROM e x JOIN e y ON x.b = y.a UNION ALL SELECT x.a, z.b, 3 FROM e x JOIN e y ON x.b = y.a JOIN e z ON y.b = z.a) SELECT a, b, min(n) AS shortest, count(*) AS routes FROM p WHERE a <> b GROUP BY ALL")
 def bridge_paths(spark, sf_dir):
     """Routes of up to three links between nodes, summed up link by link so that counts, not paths, are carried."""
     e = order_edges(spark, sf_dir)

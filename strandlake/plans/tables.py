@@ -144,19 +144,20 @@ def edit_distance_limit(spark, sf_dir):
     return j.where("edits >= 0")
 
 
-PLACE = "q AS (SELECT item_id AS id, left(regexp_replace(lower(text), '[^a-z]', '', 'g'), 24) AS word FROM benchmark), d AS (SELECT doc_id AS id, left(regexp_replace(lower(text), '[^a-z]', '', 'g'), 24) AS word FROM documents)"
+PLACE = "d AS (SELECT DISTINCT w FROM (SELECT unnest(regexp_split_to_array(lower(text), '[^a-z]+')) AS w FROM documents) WHERE length(w) = 12), q AS (SELECT DISTINCT w FROM (SELECT unnest(regexp_split_to_array(lower(text), '[^a-z]+')) AS w FROM benchmark) WHERE length(w) = 12)"
 
 
-@query("hash_placements", f"WITH {PLACE} SELECT d.id AS query, e.id AS target, hamming(d.word, e.word)::INT AS differing FROM d JOIN d e ON d.id < e.id AND length(d.word) = 24 AND length(e.word) = 24 WHERE hamming(d.word, e.word) <= 2")
+@query("hash_placements", f"WITH {PLACE} SELECT q.w AS query, d.w AS target, hamming(q.w, d.w)::INT AS differing FROM q, d WHERE hamming(q.w, d.w) <= 2")
 def hash_placements(spark, sf_dir):
-    """Words of 24 letters that differ in at most two places, through blocks they must share."""
-    words = Tables(spark, sf_dir).documents.select(F.col("doc_id").alias("id"), F.left(F.regexp_replace(F.lower("text"), "[^a-z]", ""), F.lit(24)).alias("word")).where(F.length("word") == 24)
-    return A.placements(words, words, 24, 2).where("query < target")
+    """Words of twelve letters of passages and documents that differ in at most two places, through blocks they must share."""
+    t = Tables(spark, sf_dir)
+    words = lambda df: df.select(F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("word")).where(F.length("word") == 12).distinct().withColumn("id", F.col("word"))
+    return A.placements(words(t.benchmark), words(t.documents), 12, 2)
 
 
-@query("component_decide", "WITH s AS (SELECT l_suppkey AS component, count(*) FILTER (l_returnflag = 'A') AS genes, count(*) FILTER (l_returnflag = 'R') AS others, avg(l_quantity) AS depth FROM lineitem WHERE l_linenumber > 5 GROUP BY 1), r AS (SELECT component AS ref, depth AS rd FROM s WHERE genes > 0 ORDER BY genes DESC, depth DESC, component LIMIT 1), j AS (SELECT *, CASE WHEN ref IS NULL THEN 'no reference' WHEN component = ref THEN 'reference' WHEN depth IS NULL THEN 'no depth' WHEN genes = 0 AND others >= 5 THEN 'other only' WHEN depth < rd / 2 THEN 'depth below' WHEN depth > rd * 2 THEN 'depth above' ELSE 'keep' END AS reason FROM s LEFT JOIN r ON true) SELECT component, reason IN ('no reference', 'reference', 'no depth', 'keep') AS keep, reason FROM j")
+@query("component_decide", "WITH s AS (SELECT l_suppkey AS component, count(*) FILTER (l_returnflag = 'A') AS genes, count(*) FILTER (l_returnflag = 'R') AS others, avg(l_quantity) AS depth FROM lineitem GROUP BY 1), r AS (SELECT component AS ref, depth AS rd FROM s WHERE genes > 0 ORDER BY genes DESC, depth DESC, component LIMIT 1), j AS (SELECT *, CASE WHEN ref IS NULL THEN 'no reference' WHEN component = ref THEN 'reference' WHEN depth IS NULL THEN 'no depth' WHEN genes = 0 AND others >= 5 THEN 'other only' WHEN depth < rd / 2 THEN 'depth below' WHEN depth > rd * 2 THEN 'depth above' ELSE 'keep' END AS reason FROM s LEFT JOIN r ON true) SELECT component, reason IN ('no reference', 'reference', 'no depth', 'keep') AS keep, reason FROM j")
 def component_decide(spark, sf_dir):
-    s = Tables(spark, sf_dir).lineitem.where("l_linenumber > 5").groupBy(F.col("l_suppkey").alias("component")).agg(F.count_if(F.col("l_returnflag") == "A").alias("genes"), F.count_if(F.col("l_returnflag") == "R").alias("others"), F.avg("l_quantity").alias("depth"))
+    s = Tables(spark, sf_dir).lineitem.groupBy(F.col("l_suppkey").alias("component")).agg(F.count_if(F.col("l_returnflag") == "A").alias("genes"), F.count_if(F.col("l_returnflag") == "R").alias("others"), F.avg("l_quantity").alias("depth"))
     return A.decide_components(s)
 
 
