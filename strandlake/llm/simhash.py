@@ -8,6 +8,10 @@ the distance share a cell of some grid.  Within a cell, pairs pass the Manhattan
 
 Only links that connect what isn't connected yet leave a cell, so a cell of n fingerprints gives at most n - 1 links
 for a whole group of near copies, whatever its size.
+
+``keep_one_similar`` works by the Jaccard similarity of shingle sets instead.  At 0.8 fingerprints differ by about ten bits, for
+which a grid of 64 bits has too many cells that hold everything; pairs are found in bands of least shingle hashes,
+fingerprints within WIDE bits pass, and the exact similarity of both sets decides.
 """
 
 from __future__ import annotations
@@ -21,12 +25,17 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts, materialize
+from .common import drop_materialized, map_texts, materialize
 from .components import connected_components
 
 SEED = 42
 BITS = 64
 _PAIRS = 0x5555555555555555
+#: Bands of so many least hashes each.  A pair at similarity 0.8 shares none with probability (1 - 0.8^4)^24, 3 in a million.
+BANDS, BAND_ROWS = 24, 4
+#: Bits that fingerprints of shingle sets may differ by before the exact test; at similarity 0.8 about 10, with a deviation of 3.
+WIDE = 24
+_ODD = np.random.default_rng(SEED).integers(0, 1 << 63, (BANDS * BAND_ROWS, 2), np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def fingerprint(text: str, width: int = 4) -> int:
@@ -60,6 +69,33 @@ def fingerprints(docs: DataFrame, width: int = 4) -> DataFrame:
     return map_texts(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), kernel, "doc_id long, fp long")
 
 
+def shingle_set(text: str, width: int) -> np.ndarray:
+    """Distinct hashes of the text's ``width``-word shingles in order; one of all words if they are fewer, of nothing without words."""
+    words = text.encode("utf-8", "surrogatepass").lower().split()
+    joined = b" ".join(words)
+    if len(words) <= width:
+        return np.array([xxhash.xxh64_intdigest(joined, SEED)], np.uint64)
+    ends = [e - 1 for e in accumulate(len(w) + 1 for w in words)]
+    cut = zip([0, *(e + 1 for e in ends[:-width])], ends[width - 1 :], strict=True)
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(joined[a:b], SEED) for a, b in cut), np.uint64))
+
+
+def set_fingerprint(hashes: np.ndarray) -> int:
+    """Majority bits of a shingle set."""
+    counts = np.zeros(BITS, np.int64)
+    for at in range(0, len(hashes), 50_000):
+        counts += np.unpackbits(hashes[at : at + 50_000].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return sum(1 << i for i in np.flatnonzero(2 * counts > len(hashes)).tolist())
+
+
+def bands(hashes: np.ndarray) -> np.ndarray:
+    """A key for each band: the hash of its number and its least hashes under BAND_ROWS functions."""
+    least = np.full(len(_ODD), np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(hashes), 4096):
+        np.minimum(least, (hashes[at : at + 4096] * _ODD[:, :1] + _ODD[:, 1:]).min(1), out=least)
+    return np.array([xxhash.xxh64_intdigest(part.tobytes(), i) for i, part in enumerate(least.reshape(BANDS, BAND_ROWS))], np.uint64).view(np.int64)
+
+
 def segment_counts(x: np.ndarray) -> np.ndarray:
     """Bit counts of the 32 two-bit segments, in two bits each of a 64-bit integer."""
     x = x.view(np.uint64)
@@ -229,3 +265,118 @@ def keep_one(docs: DataFrame, distance: int = 4, width: int = 4) -> DataFrame:
     placed = _roots(materialize(least, "simhash-nodes"), distance)
     stays = placed.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.key").alias("__key"))
     return keyed.join(stays, "__key", "left_semi").dropDuplicates(["__key"]).drop("__key")
+
+
+def _cells(nodes: DataFrame) -> DataFrame:
+    """(cell, node, fp): the bands of ``nodes`` (node, fp, bands) that two or more share."""
+    dealt = nodes.select(F.explode("bands").alias("cell"), "node", "fp")
+    shared = dealt.groupBy("cell").agg(F.min("node").alias("x"), F.max("node").alias("y")).where("x < y").select("cell", F.col("x").alias("centre"))
+    return dealt.join(shared, "cell")
+
+
+def _across(cells: DataFrame) -> DataFrame:
+    """(a, b), a < b: pairs of nodes of a cell that have different roots and fingerprints within WIDE bits; cells (cell, node, fp, root)."""
+    dealt = cells.select("cell", "node", "fp", "root").repartition("cell").sortWithinPartitions("cell", "node")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []  # rows of the last cell so far, as (cell, node, fp, root)
+
+        def flush(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+            cell, node, fp, root = rows
+            bits, n = fp.view(np.uint64), len(cell)
+            starts = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
+            sizes = np.diff(np.r_[starts, n])
+            ends = np.repeat(starts + sizes, sizes)
+            i, step = np.arange(n), 1
+            while len(i):
+                i = i[i + step < ends[i]]
+                hit = i[(root[i] != root[i + step]) & (np.bitwise_count(bits[i] ^ bits[i + step]) <= WIDE)]
+                if len(hit):
+                    yield pa.record_batch([pa.array(node[hit]), pa.array(node[hit + step])], ["a", "b"])
+                step += 1
+
+        for batch in batches:
+            rows = np.stack([batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(4)])
+            if not rows.shape[1]:
+                continue
+            new = rows[0, 1:] != rows[0, :-1]
+            cut = int(np.flatnonzero(new)[-1]) + 1 if new.any() else 0
+            if held and held[-1][0, -1] != rows[0, 0]:
+                yield from flush(np.concatenate(held, axis=1))
+                held = []
+            if cut:
+                yield from flush(np.concatenate([*held, rows[:, :cut]], axis=1))
+                held = []
+            held.append(rows[:, cut:])
+        if held:
+            yield from flush(np.concatenate(held, axis=1))
+
+    return dealt.mapInArrow(run, "a long, b long").distinct()
+
+
+def _similar(pairs: DataFrame, texts: DataFrame, similarity: float, width: int) -> DataFrame:
+    """Those of ``pairs`` (a, b) whose shingle sets are as similar; texts (node, text)."""
+
+    def sets():
+        def f(batch: pa.RecordBatch, part: list[str]) -> pa.RecordBatch:
+            return pa.record_batch([batch.column(0), pa.array([shingle_set(t, width).tobytes() for t in part], pa.binary())], ["node", "set"])
+
+        return f
+
+    def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ok = []
+            for x, y in zip(batch.column(2), batch.column(3), strict=True):
+                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                ok.append(both >= similarity * (len(x) + len(y) - both) - 1e-9)
+            yield batch.select([0, 1]).filter(pa.array(ok, pa.bool_()))
+
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    known = materialize(map_texts(texts.join(asked, "node", "left_semi").select("node", "text"), sets, "node long, set binary"), "simhash-sets")
+    one = known.select(F.col("node").alias("a"), F.col("set").alias("x"))
+    two = known.select(F.col("node").alias("b"), F.col("set").alias("y"))
+    out = materialize(pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(test, "a long, b long"), "simhash-similar")
+    drop_materialized(known)
+    return out
+
+
+def keep_one_similar(docs: DataFrame, similarity: float = 0.8, width: int = 5) -> DataFrame:
+    """One row of each group that pairs of at least ``similarity`` connect, with all its columns: that of the smallest doc_id (null last).
+
+    Similarity is Jaccard's, of the sets of ``width``-word shingles.  Texts without words, nulls among them, are copies of each
+    other; rows with equal sets are one node, so copies aren't expanded.  Each node is tested with the least of its cells first;
+    then all pairs of a cell that aren't connected yet are.
+    """
+    keyed = docs.withColumn("__key", F.xxhash64("doc_id", F.lit("/"), "text"))
+
+    def kernel():
+        def f(batch: pa.RecordBatch, texts: list[str]) -> pa.RecordBatch:
+            sets = [shingle_set(t, width) for t in texts]
+            named = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], np.uint64).view(np.int64)
+            fps = np.array([set_fingerprint(s) for s in sets], np.uint64).view(np.int64)
+            return pa.record_batch([batch.column(0), batch.column(1), pa.array(named), pa.array(fps), pa.array([bands(s) for s in sets], pa.list_(pa.int64()))], ["key", "doc_id", "node", "fp", "bands"])
+
+        return f
+
+    ided = keyed.select(F.col("__key").alias("key"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows = map_texts(ided, kernel, "key long, doc_id long, node long, fp long, bands array<long>")
+    least = rows.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key", "fp", "bands")).alias("least"))
+    nodes = materialize(least.select("node", F.struct("least.none", "least.doc_id", "least.key").alias("least"), "least.fp", "least.bands"), "simhash-nodes")
+    cells = materialize(_cells(nodes), "simhash-cells")
+    texts = keyed.join(nodes.select("node", F.col("least.key").alias("__key")), "__key").dropDuplicates(["node"]).select("node", "text")
+    # first with the least of the cells: a group of near copies is one after it
+    centres = cells.where("node <> centre").groupBy("node").agg(F.min("centre").alias("a"), F.first("fp").alias("fp"))
+    close = F.bit_count(F.col("fp").bitwiseXOR(F.col("afp"))) <= WIDE
+    near = nodes.select(F.col("node").alias("a"), F.col("fp").alias("afp"))
+    first = materialize(centres.join(near, "a").where(close).select("a", F.col("node").alias("b")), "simhash-pairs")
+    linked = _similar(first, texts, similarity, width)
+    parts = connected_components(linked)
+    placed = cells.join(parts, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    mixed = placed.groupBy("cell").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("cell")
+    rest = materialize(_across(placed.join(mixed, "cell", "left_semi")).join(first, ["a", "b"], "left_anti"), "simhash-pairs")
+    linked = linked.unionByName(_similar(rest, texts, similarity, width))
+    drop_materialized(cells)
+    roots = nodes.select("node", "least").join(connected_components(linked), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    stays = roots.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.key").alias("__key"))
+    return keyed.join(stays, "__key", "left_semi").dropDuplicates(["__key"]).drop("__key")

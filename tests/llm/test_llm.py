@@ -303,6 +303,45 @@ def test_links_connect_what_brute_force_does(spark, monkeypatch, large):
         assert {got.get(x, x) for x in g} == {min(g)}
 
 
+def brute_kept(texts, similarity=0.8, width=5):
+    sets = []
+    for t in texts:
+        w = t.encode().lower().split()
+        sets.append(frozenset(tuple(w[i : i + width]) for i in range(max(1, len(w) - width + 1))))
+    forest = simhash._Forest(len(texts))
+    for i, x in enumerate(sets):
+        for j, y in enumerate(sets[:i]):
+            if len(x & y) >= similarity * len(x | y) - 1e-9:
+                forest.join(np.array([i]), np.array([j]))
+    return {int(i) for i in forest.find(np.arange(len(texts)))}
+
+
+def test_pipeline_drops_near_copies_of_five_word_shingles(spark, odd, empty):
+    import corpus_pipeline
+
+    rng = random.Random(8)
+    texts = []
+    for n, edits in [(n, e) for n in (100, 300, 1000) for e in (0.003, 0.008, 0.012, 0.02, 0.026, 0.04) for _ in range(12)]:
+        words = [f"w{rng.randrange(5000)}" for _ in range(n)]
+        texts.append(" ".join(words))
+        for _ in range(2):
+            again = list(words)
+            for at in rng.sample(range(n), max(1, round(edits * n))):
+                again[at] = f"x{rng.randrange(5000)}"
+            texts.append(" ".join(again))
+    line = " ".join(f"line{i}" for i in range(20))  # a common line makes no near copies
+    texts += [line + " " + " ".join(f"w{rng.randrange(5000)}" for _ in range(100)) for _ in range(50)] + ["", " ", "a b c", "A  b c"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept = brute_kept(texts)
+    assert len(kept) < 0.75 * len(texts)
+    assert {r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, df, SF).collect()} == kept
+    few = spark.read.parquet(f"{SF}/documents.parquet").orderBy("doc_id")
+    at = [(r["doc_id"], r["text"]) for r in few.collect()]
+    assert {r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, few, SF).collect()} == {at[i][0] for i in brute_kept([t for _, t in at])}
+    out = corpus_pipeline.near_duplicates(spark, odd, SF)
+    assert out.columns == odd.columns and out.where("doc_id = 101").count() == 1 and corpus_pipeline.near_duplicates(spark, empty, SF).count() == 0
+
+
 # 7 ------------------------------------------------------------------------------------------------------------------
 
 
