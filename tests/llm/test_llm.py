@@ -12,6 +12,7 @@ import pytest
 import sentencepiece
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from strandlake.llm import ann, bpe, lexicon, ngram_lm, packing, pii, quality_model, quality_rules, queries, simhash, suffix_dedup, tokencount
@@ -245,6 +246,25 @@ def test_nearest_neighbours(spark):
     assert [r["vec_id"] for r in ann.search(copies, copies.where("vec_id = 100")).orderBy("rank").collect()] == list(range(10))
 
 
+def test_every_query_gets_all_it_can(spark):
+    rng = np.random.default_rng(4)
+    frame = lambda x: spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    found = lambda df, **kw: collections.Counter(r["query_id"] for r in ann.search(df, df, **kw).collect())
+    for n in (2, 3, 7, 15, 20):
+        x = np.concatenate([rng.normal(size=(n - 1, 8)), np.full((1, 8), 50.0)])
+        assert found(frame(x)) == {i: min(10, n - 1) for i in range(n) if n > 1}
+    centres = rng.normal(size=(20, 8)) * 10
+    x = np.concatenate([centres[rng.integers(0, 20, 1200)] + rng.normal(size=(1200, 8)), rng.normal(size=(40, 8)) * 300])
+    rows = frame(x)
+    rows = rows.unionByName(frame(x[-1:]).withColumn("vec_id", F.lit(7777).cast("long"))).unionByName(rows.where("vec_id = 1239")).unionByName(rows.where("vec_id = 1239"))
+    got = found(rows)
+    assert set(got.values()) == {10} and len(got) == 1241
+    # a list of one row, and one of copies of the query
+    sizes, index = np.array([1, 2000, 2000]), ann.Index(np.array([[0.0], [5.0], [50.0]]), [], [])
+    assert index.visits(np.zeros((1, 1)), sizes, np.array([11]))[1].tolist() == [0, 1]
+    assert index.visits(np.zeros((1, 1)), sizes, np.array([2011]))[1].tolist() == [0, 1, 2]
+
+
 # 6 ------------------------------------------------------------------------------------------------------------------
 
 
