@@ -386,6 +386,15 @@ def test_spans(odd, empty):
     assert pii.redact_column(odd).where("doc_id = 100").first()["text"] is None
 
 
+@pytest.mark.parametrize("word", ["key", "token", "secret", "password", "api", "aws", "credential"])
+def test_secrets_by_every_context_word(word):
+    digits = "0123456789abcdef" * 2
+    for w in (word, word.title(), word.upper(), word[0] + word[1:].upper()):
+        assert [k for k, _, _ in pii.find(f"{w}: {digits} on")[1]] == ["secret"]
+        assert pii.redact(f"{w} {digits}") == f"{w} <secret>"
+    assert not pii.find(f"colour: {digits}")[1]
+
+
 # 8 ------------------------------------------------------------------------------------------------------------------
 
 
