@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import count
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -38,16 +39,17 @@ def components(edges: DataFrame, write: Write, rounds: int = 40) -> DataFrame:
     raise RuntimeError(f"components didn't settle in {rounds} rounds")
 
 
-def reachable(edges: DataFrame, seeds: DataFrame, write: Write, rounds: int = 50) -> DataFrame:
-    """(node, round): nodes that directed edges (a, b) reach from seeds (node), with the round that reached each."""
+def reachable(edges: DataFrame, seeds: DataFrame, write: Write) -> DataFrame:
+    """(node, round): nodes that directed edges (a, b) reach from seeds (node), with the round that reached each; until nothing is new."""
     seen = front = write(seeds.select("node").distinct().withColumn("round", F.lit(0)), "front")
-    for i in range(1, rounds + 1):
+    for i in count(1):
         new = front.join(edges, F.col("node") == F.col("a")).select(F.col("b").alias("node")).distinct()
         front = write(new.join(seen, "node", "left_anti").withColumn("round", F.lit(i)), f"front-{i}")
         if not front.limit(1).count():
             return seen
         seen = seen.unionByName(front)
-    return seen
+        if i % 16 == 0:  # the plan must not grow with the rounds
+            seen = write(seen, f"seen-{i}")
 
 
 def degrees(links: DataFrame) -> DataFrame:

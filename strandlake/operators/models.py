@@ -98,17 +98,16 @@ def rho(a: np.ndarray, b: np.ndarray, rounds: int = 1000) -> float:
     return new
 
 
-def greedy_cover(sets: DataFrame, write: Callable[[DataFrame, str], DataFrame], rounds: int = 50) -> list[tuple]:
-    """(set, gain): sets (set, item) picked by most new items, the lesser of equals, until nothing is new; a pick a round comes to the driver."""
-    left, picked = write(sets.select("set", "item").distinct(), "cover"), []
-    for i in range(rounds):
+def greedy_cover(sets: DataFrame, write: Callable[[DataFrame, str], DataFrame]) -> list[tuple]:
+    """(set, gain): sets (set, item) picked by most new items, the lesser of equals, until nothing is new; a pick a round comes to the driver.  Nulls are left aside."""
+    left, picked = write(sets.select("set", "item").dropna().distinct(), "cover"), []
+    for i in itertools.count():
         top = left.groupBy("set").agg(F.count("*").alias("gain")).orderBy(F.desc("gain"), "set").first()
         if top is None:
-            break
+            return picked
         picked.append((top["set"], top["gain"]))
         covered = left.where(F.col("set") == top["set"]).select("item")
         left = write(left.join(covered, "item", "left_anti"), f"cover-{i}")
-    return picked
 
 
 def mosaic(calls: DataFrame) -> DataFrame:

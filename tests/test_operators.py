@@ -6,7 +6,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from strandlake.functions import seqs
-from strandlake.operators import graph, intervals, kmers, recruit, stats, translate
+from strandlake.operators import graph, intervals, kmers, models, recruit, stats, translate
 from strandlake.operators.pan import decode_mods
 from strandlake.sources import fastx, gfa
 from strandlake.streaming import events
@@ -87,6 +87,14 @@ def test_components_and_unitigs(spark, tmp_path):
     assert u[3] == (1, 2, False) and u[4] == (4, 0, False) and u[8][0] == 7 and u[8][2]
 
 
+def test_long_chains_and_covers_are_followed_to_their_end(spark, tmp_path):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(110)] + [(110, 60), (500, 501)], "a long, b long").coalesce(1)
+    got = {r["node"]: r["round"] for r in graph.reachable(edges, spark.createDataFrame([(0,)], "node long"), writer(tmp_path, spark)).collect()}
+    assert got == {i: i for i in range(111)}
+    sets = spark.createDataFrame([(i, i) for i in range(55)] + [(None, 99), (3, None)], "set long, item long").coalesce(1)
+    assert models.greedy_cover(sets, writer(tmp_path, spark)) == [(i, 1) for i in range(55)]
+
+
 def test_recruitment_reaches_by_growth(spark, tmp_path):
     rng = random.Random(3)
     genome = "".join(rng.choice("ACGT") for _ in range(3000))
