@@ -10,10 +10,10 @@ _LETTERS = "abcdefghijklmnopqrstuvwxyz0123456789"
 _CYCLE = ("ACGT" * 7)[:26] + "N" * 10
 
 
-def project_reads(docs: DataFrame) -> DataFrame:
-    """(doc_id, seq): texts as reads; letters cycle through the bases, digits become N, all else goes."""
+def project_reads(docs: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(key, seq): texts as reads; letters cycle through the bases, digits become N, all else goes."""
     kept = F.regexp_replace(F.lower(F.coalesce("text", F.lit(""))), "[^a-z0-9]", "")
-    return docs.select("doc_id", F.translate(kept, _LETTERS, _CYCLE).alias("seq"))
+    return docs.select(key, F.translate(kept, _LETTERS, _CYCLE).alias("seq"))
 
 
 def revcomp(s: Column) -> Column:
