@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import seqs
 from ..operators import kmers as K
 from ..operators import translate
+from ..operators import superwords as S
 from .registry import READS, Tables, query, words_sql
 
 MD5 = "('0x' || substr(md5({}), 1, 15))::BIGINT"
@@ -24,8 +26,17 @@ def seq_revcomp(spark, sf_dir):
 
 @query("kmer_canonical", f"WITH {READS}, {words_sql('k', 'reads', 'doc_id', 21)} SELECT doc_id, count(*) AS kmers, count(DISTINCT w) AS distinct_kmers, min(w) AS first_kmer, max(w) AS last_kmer FROM k GROUP BY 1")
 def kmer_canonical(spark, sf_dir):
-    words = K.kmers(reads_of(spark, sf_dir), 21)
-    out = words.groupBy("doc_id", "kmer").count().groupBy("doc_id").agg(F.sum("count").alias("kmers"), F.count("*").alias("distinct_kmers"), F.min("kmer").alias("a"), F.max("kmer").alias("b"))
+    """Words of each read, summed up where the read is packed."""
+
+    def summary(read, word, n):
+        total, kinds = K.tallies(read, word, n)
+        some = np.flatnonzero(total)
+        low, high = np.zeros(n, np.int64), np.zeros(n, np.int64)
+        ends = np.cumsum(total)[some]
+        low[some], high[some] = word[ends - total[some]], word[ends - 1]
+        return {"kmers": total, "distinct_kmers": kinds, "a": low, "b": high}
+
+    out = K.per_read(reads_of(spark, sf_dir), 21, summary, "kmers long, distinct_kmers long, a long, b long").where("kmers > 0")
     return out.select("doc_id", "kmers", "distinct_kmers", seqs.unpack_kmer(F.col("a"), 21).alias("first_kmer"), seqs.unpack_kmer(F.col("b"), 21).alias("last_kmer"))
 
 
@@ -42,12 +53,12 @@ def forward_kmers(spark, sf_dir):
 
 @query("kmer_spectrum", f"WITH {READS}, {words_sql('k', 'reads', 'doc_id', 21)} SELECT n, count(*) AS kmers FROM (SELECT w, count(*) AS n FROM k GROUP BY 1) GROUP BY 1")
 def kmer_spectrum(spark, sf_dir):
-    return K.spectrum(K.kmers(reads_of(spark, sf_dir), 21))
+    return S.spectrum(reads_of(spark, sf_dir), 21)
 
 
 @query("kmer_twice", f"WITH {READS}, {words_sql('k', 'reads', 'doc_id', 21)} SELECT count(*) AS kmers, sum(n)::BIGINT AS occurrences FROM (SELECT w, count(*) AS n FROM k GROUP BY 1 HAVING count(*) >= 2)")
 def kmer_twice(spark, sf_dir):
-    return K.kmers(reads_of(spark, sf_dir), 21).groupBy("kmer").count().where("count >= 2").agg(F.count("*").alias("kmers"), F.sum("count").alias("occurrences"))
+    return S.spectrum(reads_of(spark, sf_dir), 21).where("n >= 2").agg(F.coalesce(F.sum("kmers"), F.lit(0)).alias("kmers"), F.sum(F.col("n") * F.col("kmers")).alias("occurrences"))
 
 
 @query("kmer_fracminhash", f"""WITH {READS}, {words_sql('k', 'reads', 'doc_id', 21)}
