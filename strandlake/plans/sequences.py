@@ -7,9 +7,10 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import seqs
+from ..functions.md5_words import stable_hash
 from ..operators import kmers as K
-from ..operators import translate
 from ..operators import superwords as S
+from ..operators import translate
 from .registry import READS, Tables, query, words_sql
 
 MD5 = "('0x' || substr(md5({}), 1, 15))::BIGINT"
@@ -64,8 +65,13 @@ def kmer_twice(spark, sf_dir):
 @query("kmer_fracminhash", f"""WITH {READS}, {words_sql('k', 'reads', 'doc_id', 21)}
 SELECT doc_id, count(*) AS sampled, count(DISTINCT w) AS distinct_sampled FROM k WHERE {MD5.format('w')} % 64 = 0 GROUP BY 1""")
 def kmer_fracminhash(spark, sf_dir):
-    words = K.kmers(reads_of(spark, sf_dir), 21).select("doc_id", seqs.unpack_kmer(F.col("kmer"), 21).alias("w"))
-    return words.where(seqs.stable_hash(F.col("w")) % 64 == 0).groupBy("doc_id").agg(F.count("*").alias("sampled"), F.countDistinct("w").alias("distinct_sampled"))
+    """One word in 64, by its hash; only those are sorted."""
+
+    def summary(read, word, n):
+        total, kinds = K.tallies(read, word, n)
+        return {"sampled": total, "distinct_sampled": kinds}
+
+    return K.per_read(reads_of(spark, sf_dir), 21, summary, "sampled long, distinct_sampled long", keep=lambda w: stable_hash(w, 21) % 64 == 0).where("sampled > 0")
 
 
 @query("syncmer_closed", f"""WITH {READS}, {words_sql('k', 'reads', 'doc_id', 7)}, h AS (SELECT doc_id, pos, {MD5.format('w')} AS h FROM k),
