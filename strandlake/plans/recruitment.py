@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
+import numpy as np
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import seqs
+from ..functions.md5_words import stable_hash
+from ..storage import checkpointed
 from ..operators import kmers as K
 from ..operators import recruit as R
-from ..operators.stats import at_rank
+from ..operators import superwords as S
 from .registry import PASSAGES, READS, Tables, query, words_sql
 from .sequences import MD5, reads_of
 
@@ -109,10 +109,13 @@ def bait_new_anti(spark, sf_dir):
 @query("kmer_distinct_share", BASE + f", e AS (SELECT doc_id, count(*) AS n, count(DISTINCT w) AS d FROM k WHERE {MD5.format('w')} % 8 = 0 GROUP BY 1) SELECT doc_id, round(CASE WHEN coalesce(n, 0) < 20 THEN 1.0 ELSE d::DOUBLE / n END, 9) AS share FROM reads LEFT JOIN e USING (doc_id)")
 def kmer_distinct_share(spark, sf_dir):
     """Share of distinct words in a hash-chosen eighth; 1 below twenty."""
-    words = words_of(spark, sf_dir).where(seqs.stable_hash(seqs.unpack_kmer(F.col("kmer"), WORD)) % 8 == 0)
-    e = words.groupBy("doc_id").agg(F.count("*").alias("n"), F.countDistinct("kmer").alias("d"))
-    share = F.when(F.coalesce("n", F.lit(0)) < 20, 1.0).otherwise(F.col("d") / F.col("n"))
-    return reads_of(spark, sf_dir).join(e, "doc_id", "left").select("doc_id", F.round(share, 9).alias("share"))
+
+    def summary(read, word, n):
+        total, kinds = K.tallies(read, word, n)
+        return {"n": total, "d": kinds}
+
+    e = K.per_read(reads_of(spark, sf_dir), WORD, summary, "n long, d long", keep=lambda w: stable_hash(w, WORD) % 8 == 0)
+    return e.select("doc_id", F.round(F.when(F.col("n") < 20, 1.0).otherwise(F.col("d") / F.col("n")), 9).alias("share"))
 
 
 @query("kmer_solid", BASE + """, r AS (SELECT w, count(DISTINCT doc_id) AS n FROM k GROUP BY 1), hist AS (SELECT least(n, 4097) AS c, count(*) AS m FROM r GROUP BY 1),
@@ -122,10 +125,11 @@ t AS (SELECT greatest(2, floor(peak * 0.1::DOUBLE))::BIGINT AS threshold, valley
 SELECT valley, peak, threshold, (SELECT count(*) FROM r, t WHERE n >= threshold) AS solid FROM t""")
 def kmer_solid(spark, sf_dir):
     """Words that enough reads hold, each read counting once."""
-    per = K.reads_per_kmer(words_of(spark, sf_dir))
+    # a row for each number of reads that some word has
+    per = checkpointed(S.spectrum(reads_of(spark, sf_dir), WORD, once=True), "solid")
     t = K.solid_threshold(per, 2, 0.1)
     # one row of thresholds
-    return per.join(F.broadcast(t), F.col("reads") >= F.col("threshold"), "right").groupBy("valley", "peak", "threshold").agg(F.count("kmer").alias("solid"))
+    return per.join(F.broadcast(t), F.col("n") >= F.col("threshold"), "right").groupBy("valley", "peak", "threshold").agg(F.coalesce(F.sum("kmers"), F.lit(0)).alias("solid"))
 
 
 @query("containment_identity", BASE + f""", q AS (SELECT DISTINCT w FROM s), d AS (SELECT DISTINCT source, w FROM k JOIN documents USING (doc_id)), n AS (SELECT count(*) AS n FROM q),
@@ -147,22 +151,26 @@ p AS (SELECT a.lang AS a, b.lang AS b, count(*) AS shared FROM d a JOIN d b ON a
 SELECT a, b, shared, round(shared::DOUBLE / (x.n + y.n - shared), 9) AS jaccard FROM p JOIN n x ON x.lang = a JOIN n y ON y.lang = b""")
 def kmer_jaccard(spark, sf_dir):
     """Words shared between languages."""
-    docs = Tables(spark, sf_dir).documents.select("doc_id", "lang")
-    d = words_of(spark, sf_dir).select("doc_id", "kmer").join(docs, "doc_id").select("lang", "kmer").distinct()
-    n = d.groupBy("lang").agg(F.count("*").alias("n"))
-    # a word's samples are few, so pairs are made within its own list
-    sets = d.groupBy("kmer").agg(F.sort_array(F.collect_set("lang")).alias("l")).where("size(l) > 1")
-    pairs = sets.select(F.explode(F.flatten(F.transform("l", lambda a, i: F.transform(F.filter("l", lambda b: b > a), lambda b: F.struct(a.alias("a"), b.alias("b")))))).alias("p")).groupBy("p.a", "p.b").agg(F.count("*").alias("shared"))
-    out = pairs.join(n.toDF("a", "na"), "a").join(n.toDF("b", "nb"), "b")
+    reads = seqs.project_reads(Tables(spark, sf_dir).documents, "lang").where("lang is not null")
+    counts = checkpointed(S.shared(S.packets(reads, WORD, S.shares_for(reads), group="lang"), WORD), "jaccard").groupBy("a", "b").agg(F.sum("n").alias("n"))
+    # a row for each pair of languages, and one for each language with itself
+    own = counts.where("a = b").select("a", "n")
+    out = counts.where("a <> b").withColumnRenamed("n", "shared").join(own.toDF("a", "na"), "a").join(own.toDF("b", "nb"), "b")
     return out.select("a", "b", "shared", F.round(F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared")), 9).alias("jaccard"))
 
 
 @query("kmer_multiset_agreement", BASE + """, c AS (SELECT w, count(*) FILTER (lang = 'en') AS a, count(*) FILTER (lang = 'fr') AS b FROM k JOIN documents USING (doc_id) GROUP BY 1)
 SELECT sum(least(a, b))::BIGINT AS shared, sum(a)::BIGINT AS first_total, sum(b)::BIGINT AS second_total FROM c""")
 def kmer_multiset_agreement(spark, sf_dir):
-    docs = Tables(spark, sf_dir).documents.select("doc_id", "lang").where("lang in ('en', 'fr')")
-    c = words_of(spark, sf_dir).select("doc_id", "kmer").join(docs, "doc_id").groupBy("kmer").agg(F.count_if(F.col("lang") == "en").alias("a"), F.count_if(F.col("lang") == "fr").alias("b"))
-    return c.agg(F.sum(F.least("a", "b")).alias("shared"), F.sum("a").alias("first_total"), F.sum("b").alias("second_total"))
+    reads = seqs.project_reads(Tables(spark, sf_dir).documents.where("lang in ('en', 'fr')"), "lang")
+
+    def f(groups):
+        a, b = (groups.get(g, (np.zeros(0, np.int64),) * 2) for g in ("en", "fr"))
+        _, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
+        return {"shared": [int(np.minimum(a[1][i], b[1][j]).sum())], "first": [int(a[1].sum())], "second": [int(b[1].sum())]}
+
+    c = S.counted(S.packets(reads, WORD, S.shares_for(reads), group="lang"), WORD, f, "shared long, first long, second long")
+    return c.agg(F.sum("shared").alias("shared"), F.sum("first").alias("first_total"), F.sum("second").alias("second_total"))
 
 
 @query("depth_features", BASE + """, sk AS (SELECT w, count(*) AS n FROM k GROUP BY 1), d AS (SELECT doc_id, w, n FROM k JOIN sk USING (w)),
