@@ -181,16 +181,23 @@ SELECT a.doc_id, sampled, round(kinds::DOUBLE / sampled, 9) AS distinct_share, m
 FROM a JOIN o USING (doc_id) GROUP BY ALL""")
 def depth_features(spark, sf_dir):
     """Per read: words, distinct share, and nearest-rank median and spread of the counts that are two or more."""
-    words = words_of(spark, sf_dir).select("doc_id", "kmer")
-    own = words.groupBy("doc_id", "kmer").agg(F.count("*").alias("m"))
-    d = own.join(own.groupBy("kmer").agg(F.sum("m").alias("n")), "kmer")
-    # from here on a read has as many rows as its words have different counts
-    c = d.groupBy("doc_id", "n").agg(F.sum("m").alias("m"), F.count("*").alias("kinds"))
-    w = Window.partitionBy("doc_id")
-    deep = F.when(F.col("n") >= 2, F.col("m")).otherwise(0)
-    c = c.select("*", F.sum(deep).over(w.orderBy("n").rowsBetween(Window.unboundedPreceding, 0)).alias("upto"), F.sum(deep).over(w).alias("total"))
-    at = lambda q: F.min(F.when((F.col("n") >= 2) & (F.col("upto") > at_rank(q)), F.col("n")))
-    out = c.groupBy("doc_id").agg(F.sum("m").alias("sampled"), F.sum("kinds").alias("kinds"), at(0.25).alias("q25"), at(0.5).alias("q50"), at(0.75).alias("q75")).where("q50 is not null")
+
+    def f(read, n, distinct):
+        size = len(distinct)
+        sampled = np.bincount(read, minlength=size)
+        deep = n >= 2
+        r, c = read[deep], n[deep].astype(np.int64)
+        bits = int(c.max(initial=0)).bit_length()
+        c = np.sort((r << bits) | c) & ((1 << bits) - 1)
+        m = np.bincount(r, minlength=size)
+        begin = np.cumsum(m) - m
+        rank = lambda q: c[(begin + np.floor((m - 1) * q + 0.5).astype(np.int64))[m > 0]]
+        out = {name: np.zeros(size, np.int64) for name in ("q25", "q50", "q75")}
+        for name, q in (("q25", 0.25), ("q50", 0.5), ("q75", 0.75)):
+            out[name][m > 0] = rank(q)
+        return {"sampled": sampled, "kinds": distinct, **out}
+
+    out = S.looked_up(reads_of(spark, sf_dir), WORD, f, "sampled long, kinds long, q25 long, q50 long, q75 long").where("q50 > 0")
     return out.select("doc_id", "sampled", F.round(F.col("kinds") / F.col("sampled"), 9).alias("distinct_share"), F.col("q50").alias("median"), F.round((F.col("q75") - F.col("q25")) / F.col("q50"), 9).alias("spread"))
 
 
