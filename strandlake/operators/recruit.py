@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import count
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .kmers import blocks, kmers
+from .kmers import blocks, bounded, kmers, pieces
+from .superwords import counted, looked_up, packets, shares_for, totals
 
 #: Fixed defaults by read type: word length, gap that blocks bridge, least share of words that hit, least block of a candidate.
 PRESETS = {"hifi": (21, 50, 0.2, 1000), "ont": (15, 200, 0.05, 2000), "sr": (21, 40, 0.2, None)}
@@ -63,25 +69,104 @@ def calls(reads: DataFrame, totals: DataFrame, best: DataFrame, preset: str = "h
     return out.withColumn("mask", picked).drop("first")
 
 
-def fixpoint(reads: DataFrame, bait: DataFrame, targets: int, k: int, gap: int, write, min_reads: int = 2, min_hits: int = 20, passes: int = 8, saturation: float = 0.05) -> DataFrame:
+def _filter_of(words: np.ndarray) -> tuple[np.ndarray, int]:
+    """A table of flags, at least sixteen for each word; a word's flag is found by its product's high bits."""
+    bits = max(10, (16 * len(words)).bit_length())
+    flags = np.zeros(1 << bits, bool)
+    flags[_slot(words, bits)] = True
+    return flags, bits
+
+
+def _slot(words: np.ndarray, bits: int) -> np.ndarray:
+    return ((words.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def _by_target(read: np.ndarray, mask: np.ndarray, n: int, targets: int) -> np.ndarray:
+    """Hits of each of n reads, target by target."""
+    out = np.zeros((n, targets), np.int64)
+    hit = np.flatnonzero(mask)
+    for t in range(targets):
+        out[:, t] = np.bincount(read[hit[(mask[hit] >> t) & 1 == 1]], minlength=n)
+    return out
+
+
+def _lists(x: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel()))
+
+
+def target_counts(reads: DataFrame, bait: DataFrame, targets: int, k: int) -> DataFrame:
+    """(doc_id, target, hits) of reads (doc_id, seq) that hold words of the bait (kmer, mask).
+
+    A bait of at most ``BROADCAST_BAIT`` words is sent to the reads; the words of a greater one are looked up by shares.
+    """
+    if bait.limit(BROADCAST_BAIT + 1).count() <= BROADCAST_BAIT:
+        table = bait.orderBy("kmer").toArrow()
+        words, masks = (table.column(c).to_numpy() for c in ("kmer", "mask"))
+        held = reads.sparkSession.sparkContext.broadcast((words, masks, *_filter_of(words)))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            words, masks, flags, bits = held.value
+            for part in bounded(batches):
+                out = np.zeros((len(part), targets), np.int64)
+                for p in pieces(part.column(1), k):
+                    at = np.flatnonzero(p.ok)
+                    word = p.canonical()[at]
+                    maybe = np.flatnonzero(flags[_slot(word, bits)])
+                    i = np.minimum(np.searchsorted(words, word[maybe]), len(words) - 1)
+                    mask = np.where(words[i] == word[maybe], masks[i], 0) if len(words) else np.zeros(0, np.int64)
+                    out += _by_target(p.read[at[maybe]], mask, len(part), targets)
+                yield pa.record_batch([part.column(0), _lists(out)], ["doc_id", "hits"])
+
+        found = reads.select("doc_id", "seq").mapInArrow(run, f"doc_id {reads.schema['doc_id'].dataType.simpleString()}, hits array<long>")
+    else:
+        found = looked_up(reads, k, lambda read, mask, kinds: {"hits": _lists(_by_target(read, mask, len(kinds), targets))}, "hits array<long>", table=bait.select("kmer", F.col("mask").cast("long").alias("value")))
+    return found.select("doc_id", F.posexplode("hits").alias("target", "hits")).where("hits > 0")
+
+
+def shared_words(reads: DataFrame, targets: int, k: int, min_reads: int) -> DataFrame:
+    """(kmer, mask): words that ``min_reads`` of the reads (mask, seq) of a target hold, with a bit for each such target."""
+
+    def f(groups: dict) -> dict:
+        words, bits = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for t in range(targets):
+            own = [x for g, x in groups.items() if (g >> t) & 1]
+            if own:
+                w, n = totals(np.concatenate([x for x, _ in own]), np.concatenate([x for _, x in own]))
+                words.append(w[n >= min_reads])
+                bits.append(np.full(len(words[-1]), 1 << t))
+        w, b = np.concatenate(words), np.concatenate(bits)
+        kmer, mask = totals(w, b)  # each bit stands once for a word
+        return {"kmer": kmer, "mask": mask}
+
+    return counted(packets(reads, k, shares_for(reads), group="mask", once=True), k, f, "kmer long, mask long")
+
+
+def fixpoint(reads: DataFrame, bait: DataFrame, targets: int, k: int, write, min_reads: int = 2, min_hits: int = 20, saturation: float = 0.05) -> DataFrame:
     """(doc_id, target, pass): reads taken in, pass by pass; words that ``min_reads`` of a pass' new reads share join the bait.
 
-    Stops when nothing is taken, when a pass takes less than ``saturation`` of the one before, or after ``passes``.  ``write`` cuts
+    A read is taken for a target when ``min_hits`` of its windows hold words of it.  Stops when nothing is taken or when a pass takes less
+    than ``saturation`` of the one before.  Hits add up, so a pass looks up only what the bait has gained.  ``write`` cuts
     lineage after each pass (``write(df, name) -> df``).
     """
-    words = write(kmers(reads, k).select("doc_id", "pos", "kmer"), "words")
-    taken = None
+    reads = write(reads.select("doc_id", "seq"), "reads")
+    held = gained = write(bait.select("kmer", F.col("mask").cast("long").alias("mask")), "bait")
+    hits = taken = None
     previous = 0
-    for n in range(1, passes + 1):
-        per = target_hits(words, bait, targets, k, gap).where(F.col("hits") >= min_hits)
-        new = per.select("doc_id", "target") if taken is None else per.select("doc_id", "target").join(taken, ["doc_id", "target"], "left_anti")
-        new = write(new.withColumn("pass", F.lit(n)), f"pass-{n}")
-        count = new.count()
+    for n in count(1):
+        found = target_counts(reads, gained, targets, k)
+        if hits is not None:
+            found = found.unionByName(hits).groupBy("doc_id", "target").agg(F.sum("hits").alias("hits"))
+        hits = write(found, f"hits-{n}")
+        new = hits.where(F.col("hits") >= min_hits).select("doc_id", "target")
+        new = write((new if taken is None else new.join(taken, ["doc_id", "target"], "left_anti")).withColumn("pass", F.lit(n)), f"pass-{n}")
+        size = new.count()
         taken = new if taken is None else write(taken.unionByName(new), f"taken-{n}")
-        if not count or previous and count < saturation * previous:
-            break
-        previous = count
-        grown = new.join(words, "doc_id").select("doc_id", "target", "kmer").distinct().groupBy("kmer", "target").agg(F.count("*").alias("n")).where(F.col("n") >= min_reads)
-        added = grown.groupBy("kmer").agg(F.bit_or(bit(F.col("target"))).alias("mask"))
-        bait = write(bait.unionByName(added).groupBy("kmer").agg(F.bit_or("mask").alias("mask")), f"bait-{n}")
-    return taken
+        if not size or size < saturation * previous:
+            return taken
+        previous = size
+        masks = new.groupBy("doc_id").agg(F.sum(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("target"))).alias("mask"))
+        added = shared_words(reads.join(masks, "doc_id").select("mask", "seq"), targets, k, min_reads)
+        old = held.select("kmer", F.col("mask").alias("old"))
+        both = write(added.join(old, "kmer", "full").select("kmer", F.coalesce("old", F.lit(0)).alias("old"), F.coalesce("mask", F.lit(0)).alias("mask")), f"bait-{n}")
+        held = both.select("kmer", F.col("old").bitwiseOR(F.col("mask")).alias("mask"))
+        gained = both.select("kmer", F.col("mask").bitwiseAND(F.bitwise_not("old")).alias("mask")).where("mask <> 0")

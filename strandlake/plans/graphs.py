@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import seqs
+from ..storage import checkpointed
 from ..operators import graph as G
 from ..operators import kmers as K
 from .registry import READS, Tables, query, words_sql
@@ -16,15 +14,7 @@ from .sequences import reads_of
 
 
 def writer(spark):
-    """Cuts lineage through the cluster's shared folder (one of its own only where that is unset)."""
-    root = (spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="strandlake-")).rstrip("/")
-
-    def write(df, name):
-        path = f"{root}/graphs/{name}-{uuid.uuid4().hex}"
-        df.write.parquet(path)
-        return spark.read.schema(df.schema).parquet(path)
-
-    return write
+    return checkpointed
 
 
 #: Oriented links between suppliers, read off line items.

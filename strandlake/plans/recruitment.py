@@ -81,14 +81,7 @@ def recruit_pass1(spark, sf_dir):
 @query("recruit_fixpoint")
 def recruit_fixpoint(spark, sf_dir):
     """Passes until the bait takes in no more reads."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="strandlake-")
-
-    def write(df, name):
-        path = f"{root.rstrip('/')}/recruit/{name}-{uuid.uuid4().hex}"
-        df.write.parquet(path)
-        return spark.read.schema(df.schema).parquet(path)
-
-    return R.fixpoint(reads_of(spark, sf_dir), bait_of(spark, sf_dir), TARGETS, WORD, GAP, write)
+    return R.fixpoint(reads_of(spark, sf_dir), bait_of(spark, sf_dir), TARGETS, WORD, checkpointed)
 
 
 @query("bait_delta_semi", BASE + " SELECT doc_id, count(*) AS changed FROM k WHERE w IN (SELECT w FROM bait WHERE mask & 1 = 1) GROUP BY 1")

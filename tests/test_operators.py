@@ -1,12 +1,15 @@
+import hashlib
 import random
+from collections import Counter
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from strandlake.functions import seqs
-from strandlake.operators import graph, intervals, kmers, models, recruit, stats, translate
+from strandlake.functions import md5_words, seqs
+from strandlake.operators import graph, intervals, kmers, models, recruit, stats, superwords, translate
 from strandlake.operators.pan import decode_mods
 from strandlake.sources import fastx, gfa
 from strandlake.streaming import events
@@ -95,15 +98,48 @@ def test_long_chains_and_covers_are_followed_to_their_end(spark, tmp_path):
     assert models.greedy_cover(sets, writer(tmp_path, spark)) == [(i, 1) for i in range(55)]
 
 
-def test_recruitment_reaches_by_growth(spark, tmp_path):
+def test_recruitment_reaches_by_growth(spark, tmp_path, monkeypatch):
     rng = random.Random(3)
     genome = "".join(rng.choice("ACGT") for _ in range(3000))
     reads = [(i, genome[p : p + 400]) for i, p in enumerate(range(0, 2600, 50))] + [(1000, "".join(rng.choice("ACGT") for _ in range(400)))]
     df = spark.createDataFrame(reads, "doc_id long, seq string")
     seeds = spark.createDataFrame([(0, genome[:300])], "doc_id long, seq string")
     bait = recruit.bait_of(seeds, F.col("doc_id") % 8, 21)
-    got = {r["doc_id"] for r in recruit.fixpoint(df, bait, 8, 21, 50, writer(tmp_path, spark), passes=20).collect()}
+    got = {r["doc_id"] for r in recruit.fixpoint(df, bait, 8, 21, writer(tmp_path, spark)).collect()}
     assert 1000 not in got and len(got) > 20
+    # looked up by shares, the bait hits the same reads
+    near = sorted(map(tuple, recruit.target_counts(df, bait, 8, 21).collect()))
+    monkeypatch.setattr(recruit, "BROADCAST_BAIT", 10)
+    assert near and sorted(map(tuple, recruit.target_counts(df, bait, 8, 21).collect())) == near
+
+
+@pytest.mark.parametrize("k", [12, 21, 31])
+def test_words_are_counted_by_shares(spark, k, monkeypatch):
+    rng = random.Random(k)
+    some = ["".join(rng.choice("ACGT") for _ in range(90)) for _ in range(12)]
+    reads = [(i, i % 3, "N".join(rng.choice([s, rc(s), s[5:70]]) for s in rng.sample(some, 3))) for i in range(40)] + [(40, 0, "A" * 200), (41, 1, None), (42, 2, ""), (43, 2, "ACGTN")]
+    df = spark.createDataFrame(reads, "doc_id long, g int, seq string").repartition(3)
+    monkeypatch.setattr(superwords, "SHARE_WORDS", 700)
+    monkeypatch.setattr(superwords, "BATCH_WORDS", 900)
+    monkeypatch.setattr(kmers, "PIECE", 97)
+    words = {i: [min(w, rc(w)) for p in range(len(s or "") - k + 1) if "N" not in (w := s[p : p + k])] for i, _, s in reads}
+    total, once = Counter(w for ws in words.values() for w in ws), Counter(w for ws in words.values() for w in set(ws))
+    for got, want in ((superwords.spectrum(df, k), total), (superwords.spectrum(df, k, once=True), once)):
+        assert {r["n"]: r["kmers"] for r in got.collect()} == Counter(want.values())
+    sets = [{w for i, g, _ in reads for w in words[i] if g == x} for x in range(3)]
+    found = superwords.shared(superwords.packets(df.withColumn("g", F.col("g").cast("string")), k, 9, group="g"), k).groupBy("a", "b").agg(F.sum("n")).collect()
+    assert {(r[0], r[1]): r[2] for r in found} == {(str(a), str(b)): n for a in range(3) for b in range(a, 3) if (n := len(sets[a] & sets[b]))}
+    f = lambda read, n, kinds: {"kinds": kinds, "sum": np.bincount(read, n, len(kinds)).astype(int), "windows": np.bincount(read, minlength=len(kinds))}
+    got = {r["doc_id"]: tuple(r)[1:] for r in superwords.looked_up(df, k, f, "kinds long, sum long, windows long").collect()}
+    assert got == {i: (len(set(ws)), sum(total[w] for w in ws), len(ws)) for i, ws in words.items()}
+    assert superwords.spectrum(df.where("doc_id = 42"), k).count() == 0 and superwords.looked_up(df.limit(0), k, f, "kinds long, sum long, windows long").count() == 0
+
+
+def test_hashes_of_packed_words_are_md5():
+    for k in (1, 7, 8, 21, 31):
+        words = np.array([random.Random(i).randrange(4**k) for i in range(50)])
+        letters = ["".join("ACGT"[int(w) >> 2 * (k - 1 - i) & 3] for i in range(k)) for w in words]
+        assert md5_words.stable_hash(words, k).tolist() == [int(hashlib.md5(s.encode()).hexdigest()[:15], 16) for s in letters]
 
 
 def test_modified_bases():
