@@ -424,8 +424,9 @@ def brute_lm(texts):
     return {i: (held[i], len(t), sum(c[w] > 0 for w in t), size, sum(math.log10(uni(w)) for w in t), sum(math.log10(p(v, w)) for v, w in zip([b"<end>", *t], t))) for i, t in tok.items()}
 
 
-@pytest.mark.parametrize("share,batch", [(10**9, 10**9), (60_000, 90_000)])
+@pytest.mark.parametrize("share,batch", [(10**9, 10**9), (60_000, 90_000), (10_000, 50_000)])
 def test_language_model(docs, texts, odd, empty, monkeypatch, share, batch):
+    """The least shares split the frequent words' contexts."""
     monkeypatch.setattr(ngram_lm, "SHARE_CHARS", share)
     monkeypatch.setattr(ngram_lm, "BATCH_CHARS", batch)
     want = brute_lm(texts)
@@ -434,12 +435,25 @@ def test_language_model(docs, texts, odd, empty, monkeypatch, share, batch):
     for r in out:
         w = want[r["doc_id"]]
         assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == w[:4] and r["base_score"] == pytest.approx(w[4])
-        assert r["score"] == pytest.approx(w[5], rel=0.2)  # codes of one byte
-    assert sum(r["score"] for r in out) == pytest.approx(sum(w[5] for w in want.values()), rel=0.02)
+        assert r["score"] == pytest.approx(w[5], rel=0.01)  # codes of one byte
+    assert sum(r["score"] for r in out) == pytest.approx(sum(w[5] for w in want.values()), rel=0.002)
     assert sum(r["score"] for r in out if r["held_out"]) > sum(r["base_score"] for r in out if r["held_out"])
     assert ngram_lm.score(odd).count() == odd.count() and ngram_lm.score(empty).count() == 0
 
 
+def test_language_model_exactly(spark, monkeypatch):
+    """With few distinct probabilities the codebook holds them all, so scores are exact; one context is in most texts, and split."""
+    monkeypatch.setattr(ngram_lm, "SHARE_CHARS", 400)
+    monkeypatch.setattr(ngram_lm, "BATCH_CHARS", 300)
+    rng = random.Random(9)
+    texts = {i: " ".join(x for _ in range(rng.randrange(30)) for x in ("the", rng.choice("abcdefghijk") * rng.randrange(1, 3))) for i in range(80)} | {500: "the " * 700}
+    out = ngram_lm.score(spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)).collect()
+    want = brute_lm(texts)
+    assert {r["doc_id"]: tuple(r)[1:5] for r in out} == {i: w[:4] for i, w in want.items()}
+    for r in out:
+        assert (r["base_score"], r["score"]) == (pytest.approx(want[r["doc_id"]][4]), pytest.approx(want[r["doc_id"]][5], rel=1e-6))
+
+
 # 9 ------------------------------------------------------------------------------------------------------------------
 
 
