@@ -88,6 +88,12 @@ def byte_chars() -> list[str]:
     return [chr(b) if b in own else chr(next(rest)) for b in range(256)]
 
 
+def spread(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """begin, begin + 1, … (size of them) of each, one after another."""
+    ends = np.cumsum(size)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(begin - (ends - size), size)
+
+
 class ByteMerger:
     """Encodes pre-tokens (bytes) with a byte-level BPE vocabulary file of the tokenizers library."""
 
@@ -150,6 +156,31 @@ class ByteMerger:
                     out |= zip(part, map(flat.__getitem__, map(slice, [0, *ends], ends)), strict=True)
         return out
 
+    def merge_in_order(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """ids of all words, one after another, and how many each has."""
+        lengths = np.fromiter(map(len, words), np.int64, len(words))
+        order = np.argsort(lengths, kind="stable")
+        counts = np.zeros(len(words), np.int64)
+        parts = [np.zeros(0, np.uint32)]
+        cuts = np.flatnonzero(np.diff(lengths[order], prepend=-1, append=-1)) if len(words) else np.zeros(1, np.int64)
+        for a, b in zip(cuts.tolist(), cuts[1:].tolist(), strict=False):
+            n = int(lengths[order[a]])
+            for at in range(a, b if n else a, 20_000):
+                own = order[at : min(at + 20_000, b)]
+                part = [words[i] for i in own.tolist()]
+                if n > self.LONGEST:
+                    merged = [heap_merge([*self.first[list(w[:-1])].tolist(), int(self.last[w[-1]])], self.pair)[0] for w in part]
+                    counts[own] = [len(m) for m in merged]
+                    parts.append(np.concatenate(merged).astype(np.uint32))
+                else:
+                    ids, counts[own] = self._merge_equal(part, n)
+                    parts.append(ids[np.arange(n + 1) < counts[own][:, None]].astype(np.uint32))
+        flat = np.concatenate(parts)
+        sizes = counts[order]
+        begin = np.empty(len(words), np.int64)
+        begin[order] = np.cumsum(sizes) - sizes
+        return flat[spread(begin, counts)], counts
+
     def _merge_equal(self, group: list[bytes], n: int) -> tuple[np.ndarray, np.ndarray]:
         """Words of one length as rows of a matrix: each round merges the lowest pair of every row that still has one."""
         raw = np.frombuffer(b"".join(group), np.uint8).reshape(len(group), n)

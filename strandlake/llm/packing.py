@@ -23,29 +23,49 @@ import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
-from .bpe import ByteMerger
-from .common import Memo, map_texts, materialize
+from .bpe import ByteMerger, spread
+from .common import map_texts, materialize
 
 #: Rows of one salt, about: the unit in which ranks are counted and left-over rests are laid end to end.
 SALT_ROWS = 2_000
 
 
+class Codes(dict):
+    """Numbers words by first occurrence; ``fresh`` has those that were new."""
+
+    def __init__(self) -> None:
+        self.fresh: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        self[word] = n = len(self)
+        self.fresh.append(word)
+        return n
+
+
 class WordTokenizer:
     """ids of whole texts by a lower-casing, white-space dropping BPE vocabulary with word ends.
 
-    Words between white space are encoded once and remembered in a memo of bounded size.
+    Words between white space are encoded once and remembered, with their pieces, until there are too many.
     """
 
     PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
     ODD_SPACE = re.compile("[\x1c-\x1f]")  # white space for str.split() only
-    MEMO = 300_000
+    MEMO = 1_000_000
 
     def __init__(self, path: str) -> None:
         self.merger = ByteMerger(path)
         special = sorted(self.merger.special, key=len, reverse=True)
         self.special = regex.compile("(" + "|".join(map(regex.escape, special)) + ")")
-        self.pieces, self.words = Memo(self.MEMO), Memo(self.MEMO)
+        self.library = Tokenizer.from_file(path)
+        self.forget()
+
+    def forget(self) -> None:
+        self.codes = Codes()
+        #: By code: where a word's ids begin in the pool, and how many there are.
+        self.begin, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.pool = np.zeros(0, np.uint32)
 
     @staticmethod
     def normalise(text: str) -> str:
@@ -54,29 +74,71 @@ class WordTokenizer:
         # lower() alone would look at what follows a capital sigma
         return text.replace("Σ", "σ").lower()
 
-    def _cut(self, words: set[str]) -> dict[str, bytes]:
-        cut = {w: [w] if w.isalpha() else self.PATTERN.findall(w) for w in words}
-        memo = self.pieces.holding_all(
-            {p for ps in cut.values() for p in ps}, lambda ps: {b.decode(): i for b, i in self.merger.merge([p.encode() for p in ps]).items()}
-        )
-        return {w: memo[ps[0]] if len(ps) == 1 else b"".join(map(memo.__getitem__, ps)) for w, ps in cut.items()}
+    def _learn(self) -> None:
+        """Puts the ids of all fresh words into the pool.
+
+        A word of one piece is merged; others are put together from their pieces.  What the two Unicode tables may class
+        differently, as one lacks it, is left to the library.
+        """
+        fresh, known = self.codes.fresh, len(self.begin)
+        plain, given, cut = [], [], []
+        at = 0
+        while at < len(fresh):  # pieces are words too, so the list grows
+            w = fresh[at]
+            if w[0] == " ":  # a special token
+                given.append((at, [self.merger.special[w[1:]]]))
+            elif w.isalpha():
+                plain.append(at)
+            elif not w.isascii() and "Cn" in map(unicodedata.category, w):
+                given.append((at, self.library.encode(w, add_special_tokens=False).ids))
+            elif (pieces := self.PATTERN.findall(w)) == [w]:
+                plain.append(at)
+            else:
+                cut.append((at, [self.codes[p] for p in pieces]))
+            at += 1
+        begin, size = np.zeros(len(fresh), np.int64), np.zeros(len(fresh), np.int64)
+        merged, counts = self.merger.merge_in_order([fresh[i].encode() for i in plain])
+        begin[plain], size[plain] = np.cumsum(counts) - counts + len(self.pool), counts
+        pool = np.concatenate([self.pool, merged, *(np.array(ids, np.uint32) for _, ids in given)])
+        end = len(self.pool) + len(merged)
+        for at, ids in given:
+            begin[at], size[at] = end, len(ids)
+            end += len(ids)
+        self.begin, self.size = np.append(self.begin, begin), np.append(self.size, size)
+        if cut:
+            codes = np.array([c for _, cs in cut for c in cs])
+            owner = np.repeat([at for at, _ in cut], [len(cs) for _, cs in cut])
+            size = np.bincount(owner, self.size[codes], minlength=len(fresh)).astype(np.int64)
+            places = np.array([at for at, _ in cut])
+            self.begin[known + places] = np.cumsum(size[places]) - size[places] + len(pool)
+            self.size[known + places] = size[places]
+            pool = np.append(pool, pool[spread(self.begin[codes], self.size[codes])])
+        self.pool = pool
+        fresh.clear()
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         """ids of each text as little-endian unsigned 32-bit integers."""
-        plans: list[list] = []
-        seen: set[str] = set()
+        if len(self.codes) > self.MEMO:
+            self.forget()
+        code = self.codes.__getitem__
+        parts, ends = [np.zeros(0, np.int32)], [0]
         for text in texts:
-            plans.append(plan := [])
+            upto = ends[-1]
             for t in self.special.split(text) if "<|" in text else [text]:
                 if t in self.merger.special:
-                    plan.append(np.array(self.merger.special[t], "<u4").tobytes())
-                    continue
-                t = self.normalise(t)
-                words = self.PATTERN.findall(t) if self.ODD_SPACE.search(t) else t.split()
-                plan.append(words)
-                seen.update(words)
-        memo = self.words.holding_all(seen, self._cut)
-        return [b"".join(x if isinstance(x, bytes) else b"".join(map(memo.__getitem__, x)) for x in plan) for plan in plans]
+                    words = [" " + t]  # no word has a space
+                else:
+                    t = self.normalise(t)
+                    words = self.PATTERN.findall(t) if self.ODD_SPACE.search(t) else t.split()
+                parts.append(np.fromiter(map(code, words), np.int32, len(words)))
+                upto += len(words)
+            ends.append(upto)
+        self._learn()
+        codes = np.concatenate(parts)
+        n = self.size[codes]
+        raw = self.pool[spread(self.begin[codes], n)].astype("<u4").tobytes()
+        cuts = (np.concatenate([[0], np.cumsum(n)])[ends] * 4).tolist()
+        return [raw[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
 def nnls(columns: np.ndarray, target: np.ndarray, rounds: int | None = None) -> np.ndarray:
@@ -252,11 +314,13 @@ def pack(docs: DataFrame, encoder: Callable[[], Callable[[list[str]], list[bytes
     laid = placed.where("sequence < 0").withColumn("end", F.sum(F.col("rest").cast("long")).over(line.rowsBetween(Window.unboundedPreceding, 0)))
     laid = laid.withColumn("begin", F.col("end") - F.col("rest"))
     window_of = lambda c: F.floor(c / window)
+    # a salt's windows are numbered below twice its mean number of rows, or so many bits as salts leave
+    salt_windows = 1 << (60 - n_salts.bit_length())
     cut = laid.withColumn("k", F.explode(F.sequence(window_of(F.col("begin")), window_of(F.col("end") - 1))))
     low, high = F.greatest("begin", F.col("k") * window), F.least("end", (F.col("k") + 1) * window)
     cut = cut.select(
         "uid", "doc_id", "doc_tokens", "rest", "rest_crc", (low - F.col("begin")).alias("from"), (high - low).alias("length"),
-        (start + low - F.col("begin")).alias("start"), ((F.col("salt") * (1 << 40) + F.col("k")) * 4 + 2).alias("sequence_id"), (low - F.col("k") * window).alias("offset"),
+        (start + low - F.col("begin")).alias("start"), ((F.col("salt") * salt_windows + F.col("k")) * 4 + 2).alias("sequence_id"), (low - F.col("k") * window).alias("offset"),
     )
     whole = cut.where("length = rest").select("doc_id", "start", "length", F.col("rest_crc").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 

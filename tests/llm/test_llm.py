@@ -165,6 +165,15 @@ def test_packing(spark, docs, texts, empty, monkeypatch, window, salt):
     assert packing.pack_documents(empty, P.path("word_bpe_49k.json")).count() == 0
 
 
+def test_word_ids_of_every_code_point():
+    path = P.path("word_bpe_49k.json")
+    mine, library = packing.WordTokenizer(path), Tokenizer.from_file(path)
+    for low in range(0, 0x38000, 1 << 15):  # planes above hold no letters
+        texts = [f"a{chr(c)}b {chr(c)}" for c in range(low, low + (1 << 15)) if not 0xD800 <= c < 0xE000]
+        want = [np.array(e.ids, "<u4").tobytes() for e in library.encode_batch(texts, add_special_tokens=False)]
+        assert mine.encode_batch(texts) == want
+
+
 def test_packing_odd_rows(odd):
     rows = packing.pack_documents(odd, P.path("word_bpe_49k.json")).collect()
     assert sum(r["length"] for r in rows if r["doc_id"] == 101) == 2 * next(r["doc_tokens"] for r in rows if r["doc_id"] == 101)
