@@ -119,7 +119,7 @@ def target_counts(reads: DataFrame, bait: DataFrame, targets: int, k: int) -> Da
 
         found = reads.select("doc_id", "seq").mapInArrow(run, f"doc_id {reads.schema['doc_id'].dataType.simpleString()}, hits array<long>")
     else:
-        found = looked_up(reads, k, lambda read, mask, kinds: {"hits": _lists(_by_target(read, mask, len(kinds), targets))}, "hits array<long>", table=bait.select("kmer", F.col("mask").cast("long").alias("value")))
+        found = looked_up(reads, k, shares_for(reads), lambda read, mask, kinds: {"hits": _lists(_by_target(read, mask, len(kinds), targets))}, "hits array<long>", table=bait.select("kmer", F.col("mask").cast("long").alias("value")))
     return found.select("doc_id", F.posexplode("hits").alias("target", "hits")).where("hits > 0")
 
 

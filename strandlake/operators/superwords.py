@@ -119,9 +119,9 @@ def totals(value: np.ndarray, weight: np.ndarray | None = None) -> tuple[np.ndar
     return value[starts], sums
 
 
-def shares_for(reads: DataFrame) -> int:
-    """How many shares the words of reads (…, seq) need."""
-    bases = reads.agg(F.sum(F.length("seq"))).first()[0] or 0
+def shares_for(reads: DataFrame, seq: str = "seq") -> int:
+    """How many shares the words of reads (…, seq) need; ``seq`` may be a longer text that the reads come from."""
+    bases = reads.agg(F.sum(F.octet_length(seq))).first()[0] or 0
     return max(1, math.ceil(bases / SHARE_WORDS))
 
 
@@ -246,25 +246,25 @@ def shared(sent: DataFrame, k: int) -> DataFrame:
     return counted(sent, k, f, "a string, b string, n long")
 
 
-def spectrum(reads: DataFrame, k: int, once: bool = False) -> DataFrame:
+def spectrum(reads: DataFrame, k: int, shares: int, once: bool = False) -> DataFrame:
     """(n, kmers): how many words occur n times in all reads (…, seq); ``once``: how many words n reads hold."""
 
     def f(groups):
         n, words = totals(groups[None][1])
         return {"n": n, "kmers": words}
 
-    each = counted(packets(reads, k, shares_for(reads), once=once), k, f, "n long, kmers long")
+    each = counted(packets(reads, k, shares, once=once), k, f, "n long, kmers long")
     return each.groupBy("n").agg(F.sum("kmers").alias("kmers"))
 
 
-def looked_up(reads: DataFrame, k: int, f: Callable[[np.ndarray, np.ndarray, np.ndarray], dict[str, np.ndarray]], schema: str, key: str = "doc_id", table: DataFrame | None = None, m: int = MINIMIZER) -> DataFrame:
+def looked_up(reads: DataFrame, k: int, shares: int, f: Callable[[np.ndarray, np.ndarray, np.ndarray], dict[str, np.ndarray]], schema: str, key: str = "doc_id", table: DataFrame | None = None, m: int = MINIMIZER) -> DataFrame:
     """(key, schema): ``f(read, n, distinct)`` of each batch of reads (key, seq).
 
     ``read`` and ``n`` have an entry for each window: its read, and how often all reads hold its word, or with a ``table`` of distinct
     (kmer, value) the word's value (0: none).  A read's entries are together.  ``distinct`` has the number of different words of each read.
     """
     check_k(k)
-    m, shares = min(m, k), shares_for(reads)
+    m = min(m, k)
     kind = reads.schema[key].dataType.simpleString()
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

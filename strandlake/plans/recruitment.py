@@ -13,7 +13,7 @@ from ..operators import kmers as K
 from ..operators import recruit as R
 from ..operators import superwords as S
 from .registry import PASSAGES, READS, Tables, query, words_sql
-from .sequences import MD5, reads_of
+from .sequences import MD5, reads_of, shares_of
 
 TARGETS, WORD, GAP = 8, 21, 50
 #: Words of all reads and of all seeds, with the target mask of each seed word.
@@ -119,7 +119,7 @@ SELECT valley, peak, threshold, (SELECT count(*) FROM r, t WHERE n >= threshold)
 def kmer_solid(spark, sf_dir):
     """Words that enough reads hold, each read counting once."""
     # a row for each number of reads that some word has
-    per = checkpointed(S.spectrum(reads_of(spark, sf_dir), WORD, once=True), "solid")
+    per = checkpointed(S.spectrum(reads_of(spark, sf_dir), WORD, shares_of(spark, sf_dir), once=True), "solid")
     t = K.solid_threshold(per, 2, 0.1)
     # one row of thresholds
     return per.join(F.broadcast(t), F.col("n") >= F.col("threshold"), "right").groupBy("valley", "peak", "threshold").agg(F.coalesce(F.sum("kmers"), F.lit(0)).alias("solid"))
@@ -145,7 +145,7 @@ SELECT a, b, shared, round(shared::DOUBLE / (x.n + y.n - shared), 9) AS jaccard
 def kmer_jaccard(spark, sf_dir):
     """Words shared between languages."""
     reads = seqs.project_reads(Tables(spark, sf_dir).documents, "lang").where("lang is not null")
-    counts = checkpointed(S.shared(S.packets(reads, WORD, S.shares_for(reads), group="lang"), WORD), "jaccard").groupBy("a", "b").agg(F.sum("n").alias("n"))
+    counts = checkpointed(S.shared(S.packets(reads, WORD, shares_of(spark, sf_dir), group="lang"), WORD), "jaccard").groupBy("a", "b").agg(F.sum("n").alias("n"))
     # a row for each pair of languages, and one for each language with itself
     own = counts.where("a = b").select("a", "n")
     out = counts.where("a <> b").withColumnRenamed("n", "shared").join(own.toDF("a", "na"), "a").join(own.toDF("b", "nb"), "b")
@@ -162,7 +162,7 @@ def kmer_multiset_agreement(spark, sf_dir):
         _, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
         return {"shared": [int(np.minimum(a[1][i], b[1][j]).sum())], "first": [int(a[1].sum())], "second": [int(b[1].sum())]}
 
-    c = S.counted(S.packets(reads, WORD, S.shares_for(reads), group="lang"), WORD, f, "shared long, first long, second long")
+    c = S.counted(S.packets(reads, WORD, shares_of(spark, sf_dir), group="lang"), WORD, f, "shared long, first long, second long")
     return c.agg(F.sum("shared").alias("shared"), F.sum("first").alias("first_total"), F.sum("second").alias("second_total"))
 
 
@@ -190,7 +190,7 @@ def depth_features(spark, sf_dir):
             out[name][m > 0] = rank(q)
         return {"sampled": sampled, "kinds": distinct, **out}
 
-    out = S.looked_up(reads_of(spark, sf_dir), WORD, f, "sampled long, kinds long, q25 long, q50 long, q75 long").where("q50 > 0")
+    out = S.looked_up(reads_of(spark, sf_dir), WORD, shares_of(spark, sf_dir), f, "sampled long, kinds long, q25 long, q50 long, q75 long").where("q50 > 0")
     return out.select("doc_id", "sampled", F.round(F.col("kinds") / F.col("sampled"), 9).alias("distinct_share"), F.col("q50").alias("median"), F.round((F.col("q75") - F.col("q25")) / F.col("q50"), 9).alias("spread"))
 
 

@@ -20,6 +20,11 @@ def reads_of(spark, sf_dir):
     return seqs.project_reads(Tables(spark, sf_dir).documents)
 
 
+def shares_of(spark, sf_dir):
+    """Shares for the words of all reads, from the texts' sizes."""
+    return S.shares_for(Tables(spark, sf_dir).documents, "text")
+
+
 @query("seq_revcomp", f"WITH {READS} SELECT doc_id, length(seq)::INT AS len, md5(reverse(translate(seq, 'ACGT', 'TGCA'))) AS rc_md5 FROM reads")
 def seq_revcomp(spark, sf_dir):
     return reads_of(spark, sf_dir).select("doc_id", F.length("seq").alias("len"), F.md5(seqs.revcomp(F.col("seq")).cast("binary")).alias("rc_md5"))
@@ -54,12 +59,12 @@ def forward_kmers(spark, sf_dir):
 
 @query("kmer_spectrum", f"WITH {READS}, {words_sql('k', 'reads', 'doc_id', 21)} SELECT n, count(*) AS kmers FROM (SELECT w, count(*) AS n FROM k GROUP BY 1) GROUP BY 1")
 def kmer_spectrum(spark, sf_dir):
-    return S.spectrum(reads_of(spark, sf_dir), 21)
+    return S.spectrum(reads_of(spark, sf_dir), 21, shares_of(spark, sf_dir))
 
 
 @query("kmer_twice", f"WITH {READS}, {words_sql('k', 'reads', 'doc_id', 21)} SELECT count(*) AS kmers, sum(n)::BIGINT AS occurrences FROM (SELECT w, count(*) AS n FROM k GROUP BY 1 HAVING count(*) >= 2)")
 def kmer_twice(spark, sf_dir):
-    return S.spectrum(reads_of(spark, sf_dir), 21).where("n >= 2").agg(F.coalesce(F.sum("kmers"), F.lit(0)).alias("kmers"), F.sum(F.col("n") * F.col("kmers")).alias("occurrences"))
+    return S.spectrum(reads_of(spark, sf_dir), 21, shares_of(spark, sf_dir)).where("n >= 2").agg(F.coalesce(F.sum("kmers"), F.lit(0)).alias("kmers"), F.sum(F.col("n") * F.col("kmers")).alias("occurrences"))
 
 
 @query("kmer_fracminhash", f"""WITH {READS}, {words_sql('k', 'reads', 'doc_id', 21)}

@@ -124,15 +124,15 @@ def test_words_are_counted_by_shares(spark, k, monkeypatch):
     monkeypatch.setattr(kmers, "PIECE", 97)
     words = {i: [min(w, rc(w)) for p in range(len(s or "") - k + 1) if "N" not in (w := s[p : p + k])] for i, _, s in reads}
     total, once = Counter(w for ws in words.values() for w in ws), Counter(w for ws in words.values() for w in set(ws))
-    for got, want in ((superwords.spectrum(df, k), total), (superwords.spectrum(df, k, once=True), once)):
+    for got, want in ((superwords.spectrum(df, k, 9), total), (superwords.spectrum(df, k, 9, once=True), once)):
         assert {r["n"]: r["kmers"] for r in got.collect()} == Counter(want.values())
     sets = [{w for i, g, _ in reads for w in words[i] if g == x} for x in range(3)]
     found = superwords.shared(superwords.packets(df.withColumn("g", F.col("g").cast("string")), k, 9, group="g"), k).groupBy("a", "b").agg(F.sum("n")).collect()
     assert {(r[0], r[1]): r[2] for r in found} == {(str(a), str(b)): n for a in range(3) for b in range(a, 3) if (n := len(sets[a] & sets[b]))}
     f = lambda read, n, kinds: {"kinds": kinds, "sum": np.bincount(read, n, len(kinds)).astype(int), "windows": np.bincount(read, minlength=len(kinds))}
-    got = {r["doc_id"]: tuple(r)[1:] for r in superwords.looked_up(df, k, f, "kinds long, sum long, windows long").collect()}
+    got = {r["doc_id"]: tuple(r)[1:] for r in superwords.looked_up(df, k, superwords.shares_for(df), f, "kinds long, sum long, windows long").collect()}
     assert got == {i: (len(set(ws)), sum(total[w] for w in ws), len(ws)) for i, ws in words.items()}
-    assert superwords.spectrum(df.where("doc_id = 42"), k).count() == 0 and superwords.looked_up(df.limit(0), k, f, "kinds long, sum long, windows long").count() == 0
+    assert superwords.spectrum(df.where("doc_id = 42"), k, 9).count() == 0 and superwords.looked_up(df.limit(0), k, 2, f, "kinds long, sum long, windows long").count() == 0
 
 
 def test_hashes_of_packed_words_are_md5():
