@@ -41,7 +41,7 @@ _CONTEXT = {
 }
 _AGAINST = re.compile(r"(?i)\b(example|sample|test|dummy|invoice|isbn|version|part)\b")
 #: Score before any evidence, for a checksum that passes, for a context word, against.
-_SCORES = {"iban": (0.1, 0.6, 0.2, -0.05), "ssn": (0.5, 0.0, 0.4, -0.2), "secret": (0.3, 0.5, 0.4, -0.1)}
+_SCORES = {"iban": (0.1, 0.6, 0.2, -0.15), "ssn": (0.5, 0.0, 0.4, -0.2), "secret": (0.3, 0.5, 0.4, -0.1)}
 
 
 def luhn(digits: str) -> bool:
@@ -58,6 +58,21 @@ def mod97(iban: str) -> bool:
     return 15 <= len(s) <= 34 and int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97 == 1
 
 
+def _ibans(text: str) -> Iterator[tuple[int, int]]:
+    """Account numbers that pass their check; groups that only follow one are cut off again from the right."""
+    at = 0
+    while m := _IBAN.search(text, at):
+        s = m[0]
+        while not mod97(s) and " " in s:
+            s = s.rsplit(" ", 1)[0]
+        after = m.start() and _NOT_AFTER["iban"].match(text, m.start() - 1)
+        if mod97(s) and not after:
+            yield m.start(), m.start() + len(s)
+            at = m.start() + len(s)
+        else:
+            at = m.start() + 1
+
+
 def _emails(text: str) -> Iterator[tuple[int, int]]:
     """Leftmost, non-overlapping matches of local part, at sign, domain: looks only around at signs."""
     end = 0
@@ -91,19 +106,17 @@ def base_spans(text: str) -> Iterator[tuple[str, int, int]]:
 def more_spans(text: str) -> Iterator[tuple[str, int, int]]:
     for kind, pattern in zip(MORE_KINDS, (_IBAN, _SSN, _SECRET), strict=True):
         start, check, context, against = _SCORES[kind]
-        for m in pattern.finditer(text):
-            if m.start() and _NOT_AFTER[kind].match(text, m.start() - 1):
-                continue
-            if kind == "iban" and not mod97(m[0]):
-                continue
-            if kind == "ssn" and (m[0][:3] in ("000", "666") or m[0][0] == "9" or m[0][4:6] == "00" or m[0][7:] == "0000"):
+        found = _ibans(text) if kind == "iban" else (m.span() for m in pattern.finditer(text) if not (m.start() and _NOT_AFTER[kind].match(text, m.start() - 1)))
+        for s, e in found:
+            span = text[s:e]
+            if kind == "ssn" and (span[:3] in ("000", "666") or span[0] == "9" or span[4:6] == "00" or span[7:] == "0000"):
                 continue
             # the check of a secret is its issuer's prefix; bare hexadecimal digits need a word nearby
-            score = start + check * (kind == "iban" or kind == "secret" and not re.fullmatch("[0-9a-f]+", m[0]))
-            around = text[max(0, m.start() - REACH) : m.start()] + " " + text[m.end() : m.end() + REACH]
+            score = start + check * (kind == "iban" or kind == "secret" and not re.fullmatch("[0-9a-f]+", span))
+            around = text[max(0, s - REACH) : s] + " " + text[e : e + REACH]
             score += context * bool(_CONTEXT[kind].search(around)) + against * bool(_AGAINST.search(around))
             if score >= THRESHOLD:
-                yield kind, *m.span()
+                yield kind, s, e
 
 
 def find(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:

@@ -4,6 +4,7 @@ import collections
 import hashlib
 import math
 import random
+import re
 import zlib
 
 import numpy as np
@@ -255,6 +256,11 @@ def test_nearest_neighbours(spark):
     assert [r["vec_id"] for r in ann.search(copies, copies.where("vec_id = 100")).orderBy("rank").collect()] == list(range(10))
 
 
+def test_double_vectors_keep_their_precision(spark):
+    e = spark.createDataFrame([(i, [1.0 + i * 1e-12, 2.0]) for i in range(30)], "vec_id long, embedding array<double>")
+    assert [r["vec_id"] for r in ann.search(e, e.where("vec_id = 0")).orderBy("rank").collect()] == list(range(1, 11))
+
+
 def test_every_query_gets_all_it_can(spark):
     rng = np.random.default_rng(4)
     frame = lambda x: spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
@@ -407,6 +413,29 @@ def test_secrets_by_every_context_word(word):
 # 8 ------------------------------------------------------------------------------------------------------------------
 
 
+def test_account_numbers():
+    spans = lambda t: [t[s:e] for _, s, e in pii.more_spans(t)]
+    assert spans("pay BE68 5390 0754 7034 EURO now") == ["BE68 5390 0754 7034"] == spans("BE68 5390 0754 7034")
+    assert spans("BE69 5390 0754 7034") == [] == spans("xBE68 5390 0754 7034")
+    # words against it outweigh the check alone, a word for it does not give way
+    assert spans("example: BE68 5390 0754 7034") == [] and spans("example iban: BE68 5390 0754 7034") == ["BE68 5390 0754 7034"]
+
+
+def luhn_plain(d):
+    return sum(int(c) if i % 2 == 0 else sum(divmod(2 * int(c), 10)) for i, c in enumerate(reversed(d))) % 10 == 0
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from(["4845 1681 1440 7329", "4845168114407329", "4111-1111-1111-1111", "+1 (017) 555-7713", "+49.30 1234567", "1.2.3.4", "300.1.1.1", "a@b.cd", " ", "7", "-", "+", ")", "x"]), max_size=8))
+def test_base_spans_by_brute_force(parts):
+    t = "".join(parts)
+    want = [("email", *m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
+    want += [("ip", *m.span()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(x) <= 255 for x in m[0].split("."))]
+    want += [("card", *m.span()) for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", t) if 13 <= len(d := re.sub("[^0-9]", "", m[0])) <= 19 and luhn_plain(d)]
+    want += [("phone", *m.span()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", t) if 9 <= len(re.sub("[^0-9]", "", m[0])) <= 15]
+    assert list(pii.base_spans(t)) == want
+
+
 def test_elias_fano():
     rng = np.random.default_rng(1)
     for n, top in ((0, 10), (1, 1), (5, 3), (900, 50), (3000, 10**9), (2000, 2**62)):
