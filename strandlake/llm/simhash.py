@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_materialized, map_texts, materialize
+from .common import drop_materialized, free_name, map_texts, materialize
 from .components import connected_components
 
 SEED = 42
@@ -77,7 +77,8 @@ def shingle_set(text: str, width: int) -> np.ndarray:
         return np.array([xxhash.xxh64_intdigest(joined, SEED)], np.uint64)
     ends = [e - 1 for e in accumulate(len(w) + 1 for w in words)]
     cut = zip([0, *(e + 1 for e in ends[:-width])], ends[width - 1 :], strict=True)
-    return np.unique(np.fromiter((xxhash.xxh64_intdigest(joined[a:b], SEED) for a, b in cut), np.uint64))
+    hashes = np.sort(np.fromiter((xxhash.xxh64_intdigest(joined[a:b], SEED) for a, b in cut), np.uint64))
+    return hashes[np.concatenate([[True], hashes[1:] != hashes[:-1]])]
 
 
 def set_fingerprint(hashes: np.ndarray) -> int:
@@ -258,13 +259,14 @@ def _roots(nodes: DataFrame, distance: int) -> DataFrame:
 
 def keep_one(docs: DataFrame, distance: int = 4, width: int = 4) -> DataFrame:
     """One row of each component, with all its columns: that of the smallest doc_id (null last); of rows with the same id and text one."""
-    keyed = docs.withColumn("__key", F.xxhash64("doc_id", F.lit("/"), "text"))
-    rows = materialize(fingerprints(keyed.select(F.col("__key").alias("doc_id"), "text"), width).withColumnRenamed("doc_id", "key"), "simhash")
-    ids = keyed.select(F.col("__key").alias("key"), "doc_id").distinct()
+    own = free_name(docs, "key")
+    keyed = docs.withColumn(own, F.xxhash64("doc_id", F.lit("/"), "text"))
+    rows = materialize(fingerprints(keyed.select(F.col(own).alias("doc_id"), "text"), width).withColumnRenamed("doc_id", "key"), "simhash")
+    ids = keyed.select(F.col(own).alias("key"), "doc_id").distinct()
     least = rows.distinct().join(ids, "key").groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("least"))
     placed = _roots(materialize(least, "simhash-nodes"), distance)
-    stays = placed.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.key").alias("__key"))
-    return keyed.join(stays, "__key", "left_semi").dropDuplicates(["__key"]).drop("__key")
+    stays = placed.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.key").alias(own))
+    return keyed.join(stays, own, "left_semi").dropDuplicates([own]).drop(own)
 
 
 def _cells(nodes: DataFrame) -> DataFrame:
@@ -348,7 +350,8 @@ def keep_one_similar(docs: DataFrame, similarity: float = 0.8, width: int = 5) -
     other; rows with equal sets are one node, so copies aren't expanded.  Each node is tested with the least of its cells first;
     then all pairs of a cell that aren't connected yet are.
     """
-    keyed = docs.withColumn("__key", F.xxhash64("doc_id", F.lit("/"), "text"))
+    own = free_name(docs, "key")
+    keyed = docs.withColumn(own, F.xxhash64("doc_id", F.lit("/"), "text"))
 
     def kernel():
         def f(batch: pa.RecordBatch, texts: list[str]) -> pa.RecordBatch:
@@ -359,12 +362,12 @@ def keep_one_similar(docs: DataFrame, similarity: float = 0.8, width: int = 5) -
 
         return f
 
-    ided = keyed.select(F.col("__key").alias("key"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    ided = keyed.select(F.col(own).alias("key"), F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = map_texts(ided, kernel, "key long, doc_id long, node long, fp long, bands array<long>")
     least = rows.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key", "fp", "bands")).alias("least"))
     nodes = materialize(least.select("node", F.struct("least.none", "least.doc_id", "least.key").alias("least"), "least.fp", "least.bands"), "simhash-nodes")
     cells = materialize(_cells(nodes), "simhash-cells")
-    texts = keyed.join(nodes.select("node", F.col("least.key").alias("__key")), "__key").dropDuplicates(["node"]).select("node", "text")
+    texts = keyed.select(own, "text").join(nodes.select("node", F.col("least.key").alias(own)), own).dropDuplicates(["node"]).select("node", "text")
     # first with the least of the cells: a group of near copies is one after it
     centres = cells.where("node <> centre").groupBy("node").agg(F.min("centre").alias("a"), F.first("fp").alias("fp"))
     close = F.bit_count(F.col("fp").bitwiseXOR(F.col("afp"))) <= WIDE
@@ -378,5 +381,5 @@ def keep_one_similar(docs: DataFrame, similarity: float = 0.8, width: int = 5) -
     linked = linked.unionByName(_similar(rest, texts, similarity, width))
     drop_materialized(cells)
     roots = nodes.select("node", "least").join(connected_components(linked), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    stays = roots.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.key").alias("__key"))
-    return keyed.join(stays, "__key", "left_semi").dropDuplicates(["__key"]).drop("__key")
+    stays = roots.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.key").alias(own))
+    return keyed.join(stays, own, "left_semi").dropDuplicates([own]).drop(own)

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_materialized, materialize, slices
+from .common import drop_materialized, free_name, materialize, slices
 
 LENGTH = 200
 K = 64  # bytes of an anchor
@@ -296,12 +296,13 @@ def remove_repeats(docs: DataFrame, text_out: bool = False) -> DataFrame:
 
 def strip_repeats(docs: DataFrame) -> DataFrame:
     """``docs`` with repeated passages cut out of text, and all other columns; a text that is all repeats becomes empty, a null stays null."""
-    keyed = docs.withColumn("__key", F.xxhash64("doc_id", F.lit("/"), F.coalesce("text", F.lit(""))))
-    spans = repeated_spans(keyed.select(F.col("__key").alias("key"), F.coalesce("text", F.lit("")).alias("text")))
+    own, found_in = free_name(docs, "key"), free_name(docs, "spans")
+    keyed = docs.withColumn(own, F.xxhash64("doc_id", F.lit("/"), F.coalesce("text", F.lit(""))))
+    spans = repeated_spans(keyed.select(F.col(own).alias("key"), F.coalesce("text", F.lit("")).alias("text")))
 
     @F.pandas_udf("string")
     def kept(texts: pd.Series, found: pd.Series) -> pd.Series:
         return pd.Series([t if s is None else b"".join(_kept(t.encode(), s)[0]).decode("utf-8", "ignore") for t, s in zip(texts, found, strict=True)])
 
-    joined = keyed.join(spans.select(F.col("key").alias("__key"), F.col("spans").alias("__spans")), "__key", "left")
-    return joined.withColumn("text", kept("text", "__spans")).select(docs.columns)
+    joined = keyed.join(spans.select(F.col("key").alias(own), F.col("spans").alias(found_in)), own, "left")
+    return joined.withColumn("text", kept("text", found_in)).select(docs.columns)
