@@ -261,7 +261,7 @@ def looked_up(reads: DataFrame, k: int, shares: int, f: Callable[[np.ndarray, np
     """(key, schema): ``f(read, n, distinct)`` of each batch of reads (key, seq).
 
     ``read`` and ``n`` have an entry for each window: its read, and how often all reads hold its word, or with a ``table`` of distinct
-    (kmer, value) the word's value (0: none).  A read's entries are together.  ``distinct`` has the number of different words of each read.
+    (kmer, value) the word's value (0: none).  A read's entries are together.  ``distinct`` has the number of different words of each read (0 with a table).
     """
     check_k(k)
     m = min(m, k)
@@ -294,19 +294,19 @@ def looked_up(reads: DataFrame, k: int, shares: int, f: Callable[[np.ndarray, np
                 out.append((int(s[a]), batch, a, dump((_planes(np.diff(x[a:b], prepend=0)), _planes(small(n[a:b]))))))
             return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out, strict=True), SENT, strict=True)], ["share", "batch", "at", "body"])
 
-        for table in batches:
-            for part in bounded(iter([table])):
+        for sent_batch in batches:
+            for part in bounded(iter([sent_batch])):
                 read, word = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
                 for p in pieces(part.column(1), k):
                     r, x, least = superwords(p, m)
                     held.append((r + rows, x, least))
-                    read.append(p.read[p.ok])
-                    word.append(p.canonical()[p.ok])
-                r, w = sorted_words(np.concatenate(read), np.concatenate(word), k)
-                distinct.append(tallies(r, w, len(part))[1])
+                    size += int(p.ok.sum())
+                    if table is None:
+                        read.append(p.read[p.ok])
+                        word.append(p.canonical()[p.ok])
+                distinct.append(tallies(*sorted_words(np.concatenate(read), np.concatenate(word), k), len(part))[1])
                 ids.append(part.column(0))
                 rows += len(part)
-                size += len(w)
                 if size >= BATCH_WORDS:
                     yield flush()
                     batch += 1
