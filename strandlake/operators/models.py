@@ -15,27 +15,48 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def emissions(observed: list, panel: np.ndarray, mismatch: float) -> np.ndarray:
+    """How well each panel row explains the call of each site (runs x sites); unknown calls or alleles (None, -1) tell nothing."""
+    calls = np.array([-1 if x is None else x for x in observed])
+    fits = np.where(panel == calls, 1 - mismatch, mismatch)
+    return np.where((panel >= 0) & np.array([x is not None for x in observed]), fits, 1.0)
+
+
 def viterbi(observed: list, panel: np.ndarray, mismatch: float = 0.01, switch: float = 0.001) -> list[int]:
-    """The best path of panel rows through ordered sites; unknown calls or alleles (None, -1) tell nothing."""
+    """The best path of panel rows through ordered sites; a switch may draw the same row again; of equals the last row counts."""
     runs, sites = panel.shape
-    stay, move = math.log(1 - switch), math.log(switch / max(runs - 1, 1))
-    score, back = np.zeros(runs), []
-    for s in range(sites):
-        if s:
-            best = int(score.argmax())
-            jump = score[best] + move
-            keep = score + stay >= jump
-            back.append(np.where(keep, np.arange(runs), best))
-            score = np.where(keep, score + stay, jump)
-        if observed[s] is not None:
-            known = panel[:, s] >= 0
-            score = score + np.where(known, np.where(panel[:, s] == observed[s], math.log(1 - mismatch), math.log(mismatch)), 0.0)
-    at = [int(score.argmax())]
+    stay, move = math.log(1 - switch + switch / runs), math.log(switch / runs)
+    e = np.log(emissions(observed, panel, mismatch))
+    last = lambda x: runs - 1 - int(x[::-1].argmax())
+    score, back = e[:, 0], []
+    for s in range(1, sites):
+        best = last(score)
+        own, jump = score + stay, score[best] + move
+        keep = (own > jump) | ((own == jump) & (np.arange(runs) >= best))
+        back.append(np.where(keep, np.arange(runs), best))
+        score = np.where(keep, own, jump) + e[:, s]
+    at = [last(score)]
     for b in reversed(back):
         at.append(int(b[at[-1]]))
     return at[::-1]
 
 
+def forward_backward(observed: list, panel: np.ndarray, mismatch: float = 0.01, switch: float = 0.001) -> np.ndarray:
+    """Probability of each panel row at each site (runs x sites) from all the other sites' calls."""
+    runs, sites = panel.shape
+    e = emissions(observed, panel, mismatch)
+    mix = lambda p: (1 - switch) * p + switch * p.sum() / runs
+    before, after = np.full((runs, sites), 1.0 / runs), np.ones((runs, sites))
+    for s in range(1, sites):
+        p = mix(before[:, s - 1] * e[:, s - 1])
+        before[:, s] = p / p.sum()
+    for s in range(sites - 2, -1, -1):
+        p = mix(after[:, s + 1] * e[:, s + 1])
+        after[:, s] = p / p.sum()
+    out = before * after
+    return out / out.sum(0)
+
+
 def em_lengths(runs: list[np.ndarray], start: list[int], rounds: int = 12, most: int = 64) -> list[int]:
     """Lengths of homopolymer runs from histograms of called lengths, by hard EM; the current length wins ties."""
     now = list(start)
@@ -46,14 +67,13 @@ def em_lengths(runs: list[np.ndarray], start: list[int], rounds: int = 12, most:
             calls[n] += h
             prior[n] += 1
         log_call = np.log(calls / calls.sum(1, keepdims=True))
-        log_prior = np.log((prior + 0.5) / (prior.sum() + 0.5 * (most + 1)))
+        with np.errstate(divide="ignore"):
+            log_prior = np.log(prior / prior.sum())  # lengths that no run has can't win
         new = []
         for h, n in zip(runs, now, strict=True):
             seen = np.flatnonzero(h)
-            if not len(seen):
-                new.append(n)
-                continue
-            around = range(max(0, int(seen[0]) - 1), min(most, int(seen[-1]) + 1) + 1)
+            low, high = (int(seen[0]), int(seen[-1])) if len(seen) else (1, most)
+            around = range(max(1, low - 1), min(most, high + 1) + 1)
             score = {m: float(h @ log_call[m] + log_prior[m]) for m in {*around, n}}
             top = max(score.values())
             new.append(n if score[n] >= top - 1e-12 else max(score, key=lambda m: (score[m], -m)))
@@ -87,15 +107,15 @@ def minority_interval(minority: int, majority: int, draws: int = 1000, seed: int
     return share, float(sample[int(draws * 0.025)]), float(sample[min(int(draws * 0.975), draws - 1)])
 
 
-def rho(a: np.ndarray, b: np.ndarray, rounds: int = 1000) -> float:
-    """Fixed point of how often votes follow the first of two models: start at a half, stop when it moves less than 1e-12."""
-    r = 0.5
+def rho(a: np.ndarray, b: np.ndarray, n: np.ndarray, rounds: int = 1000) -> float:
+    """Fixed point of how often votes (n of each kind) follow the first of two models: start at a half, stop when it moves less than 1e-12."""
+    r = new = 0.5
     for _ in range(rounds):
-        new = float(((r * a) / (r * a + (1 - r) * b)).sum() + 0.5) / (len(a) + 1)
+        new = float((n * (r * a) / (r * a + (1 - r) * b)).sum() + 0.5) / (n.sum() + 1)
         if abs(new - r) < 1e-12:
             break
         r = new
-    return new
+    return float(new)
 
 
 def greedy_cover(sets: DataFrame, write: Callable[[DataFrame, str], DataFrame]) -> list[tuple]:

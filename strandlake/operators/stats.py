@@ -58,14 +58,28 @@ def auc(df: DataFrame, value: str, positive: str, keys: list[str]) -> DataFrame:
 
 
 def octave_peaks(bins: DataFrame, least: int) -> DataFrame:
-    """Peaks of (bin, n): occupied bins whose three-bin sum is at least ``least``, no less than the lower neighbour's and more than the upper one's."""
-    sums = F.sum("n").over(Window.orderBy("bin").rangeBetween(-1, 1))
-    s = bins.select("bin", "n", sums.alias("s"))
+    """Peaks of (bin, n): occupied bins whose three-bin sum is at least ``least``, no less than the lower neighbour's and more than the upper one's.
+
+    Equal sums are told apart by the bins' own counts; an empty neighbour has a sum too.
+    """
     w = Window.orderBy("bin")
-    near = lambda f, step: F.when(f("bin").over(w) == F.col("bin") + step, F.struct(f("s").over(w).alias("s"), f("n").over(w).alias("n")))
-    own = F.struct("s", "n")
-    t = s.select("bin", "n", "s", near(F.lag, -1).alias("lo"), near(F.lead, 1).alias("hi"), own.alias("own"))
-    return t.where((F.col("s") >= least) & (F.col("lo").isNull() | (F.col("own") >= F.col("lo"))) & (F.col("hi").isNull() | (F.col("own") > F.col("hi")))).select("bin", "n", "s")
+    over = lambda low, high: F.coalesce(F.sum("n").over(w.rangeBetween(low, high)), F.lit(0))
+    key = lambda at: F.struct(over(at - 1, at + 1).alias("s"), over(at, at).alias("n"))
+    t = bins.select("bin", "n", key(0).alias("own"), key(-1).alias("lo"), key(1).alias("hi"))
+    return t.where((F.col("own.s") >= least) & (F.col("own") >= F.col("lo")) & (F.col("own") > F.col("hi"))).select("bin", "n", F.col("own.s").alias("s"))
+
+
+def merged_peaks(peaks: DataFrame, width: float = 0.25) -> DataFrame:
+    """(centre) of peaks (bin), in log2 units: from the lowest on, one less than an octave above the last is drawn together with it to their mean."""
+    centres = peaks.agg(F.sort_array(F.collect_list((F.col("bin") + 0.5) * F.lit(width))).alias("c"))  # one for each bin at most
+    none = F.array().cast("array<double>")
+
+    def step(held, x):
+        last = F.element_at(held, -1)
+        near = (F.size(held) > 0) & (x - last < 1.0)
+        return F.when(near, F.concat(F.slice(held, 1, F.greatest(F.size(held) - 1, F.lit(0))), F.array((last + x) / 2))).otherwise(F.concat(held, F.array(x)))
+
+    return centres.select(F.explode(F.aggregate("c", none, step)).alias("centre"))
 
 
 def poisson_cdf(n, rate):

@@ -161,11 +161,12 @@ def panel_cover(spark, sf_dir):
 def posterior_votes(spark, sf_dir):
     """Fixed point of how far relatives' votes, rather than frequencies, foretell each brand's major flag."""
     c = calls(spark, sf_dir).where("call = 'called'")
+    # each vote is foretold by the others: it counts neither among its site's nor among its sample's
     n = c.groupBy("site", "major").agg(F.count("*").alias("n"))
-    f = n.select("site", "major", ((F.col("n") + 0.5) / (F.sum("n").over(Window.partitionBy("site")) + 1.5)).alias("b"))
+    f = n.select("site", "major", ((F.col("n") - 0.5) / (F.sum("n").over(Window.partitionBy("site")) + 0.5)).alias("b"))
     near = c.groupBy("sample", "major").agg(F.count("*").alias("m"))
-    a = near.select("sample", "major", ((F.col("m") + 0.5) / (F.sum("m").over(Window.partitionBy("sample")) + 1.5)).alias("a"))
-    # pairs of equal votes are summed up first, so what comes to the driver is bounded by distinct values
-    v = c.join(f, ["site", "major"]).join(a, ["sample", "major"]).groupBy(F.round("a", 3).alias("a"), F.round("b", 3).alias("b")).count().orderBy("a", "b").collect()
-    x = np.repeat(np.array([[r["a"], r["b"]] for r in v]), [r["count"] for r in v], axis=0) if v else np.zeros((0, 2))
-    return spark.createDataFrame([(len(x), models.rho(x[:, 0], x[:, 1]))], "votes long, rho double")
+    a = near.select("sample", "major", ((F.col("m") - 0.5) / (F.sum("m").over(Window.partitionBy("sample")) + 0.5)).alias("a"))
+    # equal votes are summed up first: as many rows as there are different ones come to the driver
+    v = c.join(f, ["site", "major"]).join(a, ["sample", "major"]).groupBy("a", "b").count().orderBy("a", "b").collect()
+    x = np.array([[r["a"], r["b"], r["count"]] for r in v]).reshape(-1, 3)
+    return spark.createDataFrame([(int(x[:, 2].sum()), models.rho(*x.T))], "votes long, rho double")

@@ -82,12 +82,22 @@ def hist_valley_peak(spark, sf_dir):
     return h.join(F.broadcast(valley), F.col("c") >= F.col("valley")).groupBy("valley").agg(F.max_by("c", F.struct("n", "c")).alias("peak"))
 
 
-@query("depth_histogram_peaks", "WITH b AS (SELECT floor(log2(o_totalprice) / 0.25::DOUBLE)::BIGINT AS bin, count(*) AS n FROM orders WHERE o_totalprice > 0 GROUP BY 1), s AS (SELECT bin, n, sum(n) OVER (ORDER BY bin RANGE BETWEEN 1 PRECEDING AND 1 FOLLOWING)::BIGINT AS s FROM b), t AS (SELECT a.*, l.s AS ls, l.n AS ln, h.s AS hs, h.n AS hn FROM s a LEFT JOIN s l ON l.bin = a.bin - 1 LEFT JOIN s h ON h.bin = a.bin + 1) SELECT bin, n, s FROM t WHERE s >= 10 AND (ls IS NULL OR s > ls OR s = ls AND n >= ln) AND (hs IS NULL OR s > hs OR s = hs AND n > hn)")
+@query("depth_histogram_peaks", """WITH b AS (SELECT floor(log2(o_totalprice) / 0.25::DOUBLE)::BIGINT AS bin, count(*) AS n FROM orders WHERE o_totalprice > 0 GROUP BY 1),
+g AS (SELECT unnest(range(min(bin) - 2, max(bin) + 3)) AS bin FROM b), f AS (SELECT g.bin, coalesce(n, 0) AS n FROM g LEFT JOIN b USING (bin)),
+s AS (SELECT bin, n, sum(n) OVER (ORDER BY bin ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING)::BIGINT AS s FROM f),
+t AS (SELECT *, lag(s) OVER o AS ls, lag(n) OVER o AS ln, lead(s) OVER o AS hs, lead(n) OVER o AS hn FROM s WINDOW o AS (ORDER BY bin))
+SELECT bin, n, s FROM t WHERE n > 0 AND s >= 10 AND (s > ls OR s = ls AND n >= ln) AND (s > hs OR s = hs AND n > hn)""")
 def depth_histogram_peaks(spark, sf_dir):
     bins = Tables(spark, sf_dir).orders.where("o_totalprice > 0").groupBy(F.floor(F.log2("o_totalprice") / F.lit(0.25)).alias("bin")).agg(F.count("*").alias("n"))
     return stats.octave_peaks(bins, 10)
 
 
+@query("depth_peaks_merged")
+def depth_peaks_merged(spark, sf_dir):
+    """Those peaks, less than an octave apart drawn together."""
+    return stats.merged_peaks(depth_histogram_peaks(spark, sf_dir))
+
+
 @query("nearest_peak", "WITH p AS (SELECT n_nationkey AS peak, n_nationkey * 400.0::DOUBLE AS centre FROM nation), x AS (SELECT c_custkey, peak, row_number() OVER (PARTITION BY c_custkey ORDER BY abs(c_acctbal - centre), peak) AS r FROM customer, p) SELECT c_custkey, peak FROM x WHERE r = 1")
 def nearest_peak(spark, sf_dir):
     """Each value's nearest centre; the 25 centres are folded into one array."""

@@ -1,4 +1,6 @@
 import hashlib
+import itertools
+import math
 import random
 from collections import Counter
 
@@ -142,6 +144,41 @@ def test_hashes_of_packed_words_are_md5():
         assert md5_words.stable_hash(words, k).tolist() == [int(hashlib.md5(s.encode()).hexdigest()[:15], 16) for s in letters]
 
 
+def test_peaks_see_empty_neighbours_and_merge(spark):
+    # the empty bin between has the greatest sum, so neither is a peak
+    peaks = lambda rows: sorted(r["bin"] for r in stats.octave_peaks(spark.createDataFrame(rows, "bin long, n long"), 10).collect())
+    assert peaks([(3, 100), (5, 10)]) == [] and peaks([(3, 100), (9, 10)]) == [3, 9] and peaks([(1, 4)]) == []
+    merged = lambda bins: sorted(r["centre"] for r in stats.merged_peaks(spark.createDataFrame([(b,) for b in bins], "bin long")).collect())
+    assert merged([3, 6, 20]) == [(0.875 + 1.625) / 2, 5.125] and merged([3, 7]) == [0.875, 1.875]
+
+
+def test_mosaic_models_by_all_paths():
+    rng = np.random.default_rng(5)
+    for _ in range(30):
+        runs, sites = int(rng.integers(1, 4)), int(rng.integers(1, 6))
+        panel = rng.integers(-1, 3, (runs, sites))
+        observed = [None if x < 0 else int(x) for x in rng.integers(-1, 3, sites)]
+        e = lambda t, s: 1.0 if observed[t] is None or panel[s, t] < 0 else 0.99 if panel[s, t] == observed[t] else 0.01
+        step = lambda a, b: 0.001 / runs + 0.999 * (a == b)
+        weigh = lambda p, skip=None: math.prod(step(a, b) for a, b in zip(p, p[1:])) * math.prod(e(t, s) for t, s in enumerate(p) if t != skip)
+        paths = list(itertools.product(range(runs), repeat=sites))
+        assert weigh(tuple(models.viterbi(observed, panel))) == pytest.approx(max(map(weigh, paths)))
+        got = models.forward_backward(observed, panel)
+        for t in range(sites):
+            want = np.array([sum(weigh(p, t) for p in paths if p[t] == s) for s in range(runs)])
+            assert got[:, t] == pytest.approx(want / want.sum())
+    assert models.viterbi([None, None], np.zeros((3, 2), int)) == [2, 2]
+
+
+def test_run_lengths_and_votes():
+    h = lambda **n: np.array([n.get(f"c{i}", 0) for i in range(65)])
+    runs = [h(c5=9, c4=1)] * 6 + [h(c4=6, c5=4)] + [h(c8=9, c7=2)] * 3
+    assert models.em_lengths(runs, [5] * 6 + [4] + [8] * 3)[:6] == [5] * 6
+    assert set(models.em_lengths(runs, [5] * 7 + [8] * 3)) <= {5, 8}  # a length that no run has doesn't win
+    a, b, n = np.array([0.9, 0.2]), np.array([0.5, 0.5]), np.array([30, 10])
+    assert models.rho(a, b, n) == pytest.approx(models.rho(np.repeat(a, n), np.repeat(b, n), np.ones(40)))
+
+
 def test_modified_bases():
     assert decode_mods("C", [0, 1], "ACCTC") == [1, 4] and decode_mods("C", [5], "CC") == []
 
