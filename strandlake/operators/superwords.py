@@ -264,7 +264,7 @@ def looked_up(reads: DataFrame, k: int, shares: int, f: Callable[[np.ndarray, np
     (kmer, value) the word's value (0: none).  A read's entries are together.  ``distinct`` has the number of different words of each read (0 with a table).
     """
     check_k(k)
-    m = min(m, k)
+    m, tally = min(m, k), table is None
     kind = reads.schema[key].dataType.simpleString()
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -301,7 +301,7 @@ def looked_up(reads: DataFrame, k: int, shares: int, f: Callable[[np.ndarray, np
                     r, x, least = superwords(p, m)
                     held.append((r + rows, x, least))
                     size += int(p.ok.sum())
-                    if table is None:
+                    if tally:
                         read.append(p.read[p.ok])
                         word.append(p.canonical()[p.ok])
                 distinct.append(tallies(*sorted_words(np.concatenate(read), np.concatenate(word), k), len(part))[1])
