@@ -11,7 +11,8 @@ for a whole group of near copies, whatever its size.
 
 ``keep_one_similar`` works by the Jaccard similarity of shingle sets instead.  At 0.8 fingerprints differ by about ten bits, for
 which a grid of 64 bits has too many cells that hold everything; pairs are found in bands of least shingle hashes,
-fingerprints within WIDE bits pass, and the exact similarity of both sets decides.
+fingerprints within WIDE bits pass, then sets whose sizes and parity vectors allow the similarity, and the exact similarity of
+both sets decides.  Sets differ in at least as many shingles as their parity vectors in bits, so these drop no similar pair.
 """
 
 from __future__ import annotations
@@ -35,6 +36,8 @@ _PAIRS = 0x5555555555555555
 BANDS, BAND_ROWS = 24, 4
 #: Bits that fingerprints of shingle sets may differ by before the exact test; at similarity 0.8 about 10, with a deviation of 3.
 WIDE = 24
+#: Bits of a parity vector: at least two for each shingle, from the first to the last of these.
+PARITY_BITS = 64, 1 << 16
 _ODD = np.random.default_rng(SEED).integers(0, 1 << 63, (BANDS * BAND_ROWS, 2), np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -89,6 +92,54 @@ def set_fingerprint(hashes: np.ndarray) -> int:
     return sum(1 << i for i in np.flatnonzero(2 * counts > len(hashes)).tolist())
 
 
+def parities(hashes: np.ndarray) -> bytes:
+    """By bit, whether an odd number of the hashes falls on it.
+
+    A vector folded in halves (exclusive or) is that of half as many bits.  At any width two sets' vectors differ in no more bits
+    than the sets in hashes.
+    """
+    least, most = PARITY_BITS
+    size = min(max(least, 1 << (2 * len(hashes) - 1).bit_length()), most)
+    counts = np.bincount((hashes & np.uint64(size - 1)).astype(np.int64), minlength=size)
+    return np.packbits((counts & 1).astype(bool), bitorder="little").tobytes()
+
+
+class _Parities:
+    """Parity vectors of sets of so many hashes each; tells which pairs of sets may be similar."""
+
+    def __init__(self, sizes: np.ndarray, vectors: list[bytes]) -> None:
+        self.sizes, self.width = sizes, np.array([len(v) // 8 for v in vectors])
+        self.own = {}
+        for w in np.unique(self.width).tolist():
+            rows = np.flatnonzero(self.width == w)
+            self.own[w] = rows, np.frombuffer(b"".join([vectors[r] for r in rows.tolist()]), np.uint64).reshape(-1, w)
+        self.folded: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+    def at(self, w: int) -> tuple[np.ndarray, np.ndarray]:
+        """Each set's place in a table of vectors folded to ``w`` words, and the table."""
+        if w not in self.folded:
+            wide = [(rows, np.bitwise_xor.reduce(m.reshape(len(m), -1, w), axis=1)) for x, (rows, m) in self.own.items() if x >= w]
+            place = np.zeros(len(self.width), np.int64)
+            place[np.concatenate([rows for rows, _ in wide])] = np.arange(sum(len(rows) for rows, _ in wide))
+            self.folded[w] = place, np.concatenate([m for _, m in wide])
+        return self.folded[w]
+
+    def allow(self, i: np.ndarray, j: np.ndarray, similarity: float) -> np.ndarray:
+        """False where sets i and j are certainly less similar."""
+        a, b = self.sizes[i], self.sizes[j]
+        ok = np.minimum(a, b) >= similarity * np.maximum(a, b) - 1e-6
+        limit = (a + b) * (1 - similarity) / (1 + similarity) + 1e-6
+        level = np.minimum(self.width[i], self.width[j])
+        for w in np.unique(level[ok]).tolist():
+            at = np.flatnonzero(ok & (level == w))
+            place, table = self.at(w)
+            step = max(1, (1 << 20) // w)
+            for part in (at[x : x + step] for x in range(0, len(at), step)):
+                apart = np.bitwise_count(table[place[i[part]]] ^ table[place[j[part]]]).sum(1, dtype=np.int64)
+                ok[part] = apart <= limit[part]
+        return ok
+
+
 def bands(hashes: np.ndarray) -> np.ndarray:
     """A key for each band: the hash of its number and its least hashes under BAND_ROWS functions."""
     least = np.full(len(_ODD), np.iinfo(np.uint64).max, np.uint64)
@@ -276,15 +327,18 @@ def _cells(nodes: DataFrame) -> DataFrame:
     return dealt.join(shared, "cell")
 
 
-def _across(cells: DataFrame) -> DataFrame:
-    """(a, b), a < b: pairs of nodes of a cell that have different roots and fingerprints within WIDE bits; cells (cell, node, fp, root)."""
-    dealt = cells.select("cell", "node", "fp", "root").repartition("cell").sortWithinPartitions("cell", "node")
+def _across(cells: DataFrame, similarity: float) -> DataFrame:
+    """(a, b), a < b: pairs of nodes of a cell that have different roots, fingerprints within WIDE bits and parities that allow
+    the similarity; cells (cell, node, fp, root, size, parity).
+    """
+    dealt = cells.select("cell", "node", "fp", "root", "size", "parity").repartition("cell").sortWithinPartitions("cell", "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []  # rows of the last cell so far, as (cell, node, fp, root)
+        held: list[tuple[np.ndarray, list[bytes]]] = []  # the last cell so far: (cell, node, fp, root, size), parity
 
-        def flush(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
-            cell, node, fp, root = rows
+        def flush(parts: list[tuple[np.ndarray, list[bytes]]]) -> Iterator[pa.RecordBatch]:
+            cell, node, fp, root, size = np.concatenate([rows for rows, _ in parts], axis=1)
+            parity = _Parities(size, [v for _, vectors in parts for v in vectors])
             bits, n = fp.view(np.uint64), len(cell)
             starts = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
             sizes = np.diff(np.r_[starts, n])
@@ -293,25 +347,27 @@ def _across(cells: DataFrame) -> DataFrame:
             while len(i):
                 i = i[i + step < ends[i]]
                 hit = i[(root[i] != root[i + step]) & (np.bitwise_count(bits[i] ^ bits[i + step]) <= WIDE)]
+                hit = hit[parity.allow(hit, hit + step, similarity)]
                 if len(hit):
                     yield pa.record_batch([pa.array(node[hit]), pa.array(node[hit + step])], ["a", "b"])
                 step += 1
 
         for batch in batches:
-            rows = np.stack([batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(4)])
+            rows = np.stack([batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(5)])
             if not rows.shape[1]:
                 continue
+            vectors = batch.column(5).to_pylist()
             new = rows[0, 1:] != rows[0, :-1]
             cut = int(np.flatnonzero(new)[-1]) + 1 if new.any() else 0
-            if held and held[-1][0, -1] != rows[0, 0]:
-                yield from flush(np.concatenate(held, axis=1))
+            if held and held[-1][0][0, -1] != rows[0, 0]:
+                yield from flush(held)
                 held = []
             if cut:
-                yield from flush(np.concatenate([*held, rows[:, :cut]], axis=1))
+                yield from flush([*held, (rows[:, :cut], vectors[:cut])])
                 held = []
-            held.append(rows[:, cut:])
+            held.append((rows[:, cut:], vectors[cut:]))
         if held:
-            yield from flush(np.concatenate(held, axis=1))
+            yield from flush(held)
 
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
@@ -348,7 +404,7 @@ def keep_one_similar(docs: DataFrame, similarity: float = 0.8, width: int = 5) -
 
     Similarity is Jaccard's, of the sets of ``width``-word shingles.  Texts without words, nulls among them, are copies of each
     other; rows with equal sets are one node, so copies aren't expanded.  Each node is tested with the least of its cells first;
-    then all pairs of a cell that aren't connected yet are.
+    then the pairs of a cell that aren't connected yet and whose parity vectors allow the similarity are.
     """
     own = free_name(docs, "key")
     keyed = docs.withColumn(own, F.xxhash64("doc_id", F.lit("/"), "text"))
@@ -358,14 +414,14 @@ def keep_one_similar(docs: DataFrame, similarity: float = 0.8, width: int = 5) -
             sets = [shingle_set(t, width) for t in texts]
             named = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], np.uint64).view(np.int64)
             fps = np.array([set_fingerprint(s) for s in sets], np.uint64).view(np.int64)
-            return pa.record_batch([batch.column(0), batch.column(1), pa.array(named), pa.array(fps), pa.array([bands(s) for s in sets], pa.list_(pa.int64()))], ["key", "doc_id", "node", "fp", "bands"])
+            return pa.record_batch([batch.column(0), batch.column(1), pa.array(named), pa.array(fps), pa.array([bands(s) for s in sets], pa.list_(pa.int64())), pa.array([len(s) for s in sets], pa.int64()), pa.array([parities(s) for s in sets], pa.binary())], ["key", "doc_id", "node", "fp", "bands", "size", "parity"])
 
         return f
 
     ided = keyed.select(F.col(own).alias("key"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = map_texts(ided, kernel, "key long, doc_id long, node long, fp long, bands array<long>")
-    least = rows.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key", "fp", "bands")).alias("least"))
-    nodes = materialize(least.select("node", F.struct("least.none", "least.doc_id", "least.key").alias("least"), "least.fp", "least.bands"), "simhash-nodes")
+    rows = map_texts(ided, kernel, "key long, doc_id long, node long, fp long, bands array<long>, size long, parity binary")
+    least = rows.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key", "fp", "bands", "size", "parity")).alias("least"))
+    nodes = materialize(least.select("node", F.struct("least.none", "least.doc_id", "least.key").alias("least"), "least.fp", "least.bands", "least.size", "least.parity"), "simhash-nodes")
     cells = materialize(_cells(nodes), "simhash-cells")
     texts = keyed.select(own, "text").join(nodes.select("node", F.col("least.key").alias(own)), own).dropDuplicates(["node"]).select("node", "text")
     # first with the least of the cells: a group of near copies is one after it
@@ -377,7 +433,8 @@ def keep_one_similar(docs: DataFrame, similarity: float = 0.8, width: int = 5) -
     parts = connected_components(linked)
     placed = cells.join(parts, "node", "left").withColumn("root", F.coalesce("root", "node"))
     mixed = placed.groupBy("cell").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("cell")
-    rest = materialize(_across(placed.join(mixed, "cell", "left_semi")).join(first, ["a", "b"], "left_anti"), "simhash-pairs")
+    mixed = placed.join(mixed, "cell", "left_semi").join(nodes.select("node", "size", "parity"), "node")
+    rest = materialize(_across(mixed, similarity).join(first, ["a", "b"], "left_anti"), "simhash-pairs")
     linked = linked.unionByName(_similar(rest, texts, similarity, width))
     drop_materialized(cells)
     roots = nodes.select("node", "least").join(connected_components(linked), "node", "left").withColumn("root", F.coalesce("root", "node"))

@@ -351,6 +351,25 @@ def brute_kept(texts, similarity=0.8, width=5):
     return {int(i) for i in forest.find(np.arange(len(texts)))}
 
 
+def test_parities_drop_no_similar_pair(monkeypatch):
+    monkeypatch.setattr(simhash, "PARITY_BITS", (64, 1 << 10))
+    rng = np.random.default_rng(5)
+    pool = rng.integers(0, 1 << 63, 4000).astype(np.uint64)
+    sets = [np.unique(pool[:n]) for n in (1, 2, 30, 34, 64, 65, 300, 320, 900, 1200, 4000)]
+    for s in list(sets):  # a part exchanged, so that similarities lie on both sides of 0.8
+        for share in (0.05, 0.1, 0.12, 0.3):
+            other = s.copy()
+            other[: int(share * len(s))] = rng.integers(0, 1 << 63, int(share * len(s)))
+            sets.append(np.unique(other))
+    parity = simhash._Parities(np.array([len(s) for s in sets]), [simhash.parities(s) for s in sets])
+    i, j = np.triu_indices(len(sets), 1)
+    jaccard = np.array([len(np.intersect1d(sets[a], sets[b])) / len(np.union1d(sets[a], sets[b])) for a, b in zip(i, j, strict=True)])
+    for similarity in (0.5, 0.8, 1.0):
+        ok = parity.allow(i, j, similarity)
+        assert ok[jaccard >= similarity].all()
+        assert not ok[jaccard < similarity - 0.3].any()
+
+
 def test_pipeline_drops_near_copies_of_five_word_shingles(spark, odd, empty):
     import corpus_pipeline
 
