@@ -327,9 +327,10 @@ def _cells(nodes: DataFrame) -> DataFrame:
     return dealt.join(shared, "cell")
 
 
-def _across(cells: DataFrame, similarity: float) -> DataFrame:
+def _across(cells: DataFrame, similarity: float, forest: bool) -> DataFrame:
     """(a, b), a < b: pairs of nodes of a cell that have different roots, fingerprints within WIDE bits and parities that allow
-    the similarity; cells (cell, node, fp, root, size, parity).
+    the similarity; cells (cell, node, fp, root, size, parity).  ``forest``: only those that connect what no such pair of the
+    cell before them does.
     """
     dealt = cells.select("cell", "node", "fp", "root", "size", "parity").repartition("cell").sortWithinPartitions("cell", "node")
 
@@ -343,11 +344,23 @@ def _across(cells: DataFrame, similarity: float) -> DataFrame:
             starts = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
             sizes = np.diff(np.r_[starts, n])
             ends = np.repeat(starts + sizes, sizes)
+            trees = _Forest(n)
+            if forest:  # what has a root in common is connected already
+                by = np.lexsort((root, cell))
+                same = (cell[by[1:]] == cell[by[:-1]]) & (root[by[1:]] == root[by[:-1]])
+                trees.join(by[:-1][same], by[1:][same])
             i, step = np.arange(n), 1
             while len(i):
                 i = i[i + step < ends[i]]
                 hit = i[(root[i] != root[i + step]) & (np.bitwise_count(bits[i] ^ bits[i + step]) <= WIDE)]
+                if forest:
+                    hit = hit[trees.find(hit) != trees.find(hit + step)]
                 hit = hit[parity.allow(hit, hit + step, similarity)]
+                if forest and len(hit):
+                    x, y = trees.find(hit), trees.find(hit + step)
+                    # one pair for two trees
+                    hit = hit[np.unique(np.minimum(x, y) * n + np.maximum(x, y), return_index=True)[1]]
+                    trees.join(hit, hit + step)
                 if len(hit):
                     yield pa.record_batch([pa.array(node[hit]), pa.array(node[hit + step])], ["a", "b"])
                 step += 1
@@ -403,8 +416,9 @@ def keep_one_similar(docs: DataFrame, similarity: float = 0.8, width: int = 5) -
     """One row of each group that pairs of at least ``similarity`` connect, with all its columns: that of the smallest doc_id (null last).
 
     Similarity is Jaccard's, of the sets of ``width``-word shingles.  Texts without words, nulls among them, are copies of each
-    other; rows with equal sets are one node, so copies aren't expanded.  Each node is tested with the least of its cells first;
-    then the pairs of a cell that aren't connected yet and whose parity vectors allow the similarity are.
+    other; rows with equal sets are one node, so copies aren't expanded.  Each node is tested with the least of its cells first.
+    Of the pairs that aren't connected by then and whose parity vectors allow the similarity, those that would connect a cell are
+    next, and then all that are still apart.
     """
     own = free_name(docs, "key")
     keyed = docs.withColumn(own, F.xxhash64("doc_id", F.lit("/"), "text"))
@@ -430,12 +444,15 @@ def keep_one_similar(docs: DataFrame, similarity: float = 0.8, width: int = 5) -
     near = nodes.select(F.col("node").alias("a"), F.col("fp").alias("afp"))
     first = materialize(centres.join(near, "a").where(close).select("a", F.col("node").alias("b")), "simhash-pairs")
     linked = _similar(first, texts, similarity, width)
-    parts = connected_components(linked)
-    placed = cells.join(parts, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    mixed = placed.groupBy("cell").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("cell")
-    mixed = placed.join(mixed, "cell", "left_semi").join(nodes.select("node", "size", "parity"), "node")
-    rest = materialize(_across(mixed, similarity).join(first, ["a", "b"], "left_anti"), "simhash-pairs")
-    linked = linked.unionByName(_similar(rest, texts, similarity, width))
+    tested = first
+    for forest in (True, False):
+        parts = connected_components(linked)
+        placed = cells.join(parts, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        mixed = placed.groupBy("cell").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("cell")
+        mixed = placed.join(mixed, "cell", "left_semi").join(nodes.select("node", "size", "parity"), "node")
+        rest = materialize(_across(mixed, similarity, forest).join(tested, ["a", "b"], "left_anti"), "simhash-pairs")
+        linked = linked.unionByName(_similar(rest, texts, similarity, width))
+        tested = tested.unionByName(rest)
     drop_materialized(cells)
     roots = nodes.select("node", "least").join(connected_components(linked), "node", "left").withColumn("root", F.coalesce("root", "node"))
     stays = roots.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.key").alias(own))
