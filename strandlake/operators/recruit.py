@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import cache, partial
 from itertools import count
 
 import numpy as np
@@ -10,8 +11,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import checkpointed
 from .kmers import blocks, bounded, kmers, pieces
-from .superwords import counted, looked_up, packets, shares_for, totals
+from .superwords import answered, asked, counted, packets, shares_for
 
 #: Fixed defaults by read type: word length, gap that blocks bridge, least share of words that hit, least block of a candidate.
 PRESETS = {"hifi": (21, 50, 0.2, 1000), "ont": (15, 200, 0.05, 2000), "sr": (21, 40, 0.2, None)}
@@ -85,8 +87,11 @@ def _by_target(read: np.ndarray, mask: np.ndarray, n: int, targets: int) -> np.n
     """Hits of each of n reads, target by target."""
     out = np.zeros((n, targets), np.int64)
     hit = np.flatnonzero(mask)
-    for t in range(targets):
-        out[:, t] = np.bincount(read[hit[(mask[hit] >> t) & 1 == 1]], minlength=n)
+    read, mask = read[hit], mask[hit]
+    for t in range(0, targets, 8):
+        width = min(8, targets - t)
+        seen = np.bincount(read << width | (mask >> t) & ((1 << width) - 1), minlength=n << width).reshape(n, -1)
+        out[:, t : t + width] = seen @ ((np.arange(1 << width)[:, None] >> np.arange(width)) & 1)
     return out
 
 
@@ -94,11 +99,18 @@ def _lists(x: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel()))
 
 
-def target_counts(reads: DataFrame, bait: DataFrame, targets: int, k: int) -> DataFrame:
+def written_questions(reads: DataFrame, k: int, write: Callable[[DataFrame, str], DataFrame]) -> tuple[DataFrame, int]:
+    shares = shares_for(reads)
+    return write(asked(reads, k, shares), "questions"), shares
+
+
+def target_counts(reads: DataFrame, bait: DataFrame, targets: int, k: int, questions: Callable[[], tuple[DataFrame, int]] | None = None) -> DataFrame:
     """(doc_id, target, hits) of reads (doc_id, seq) that hold words of the bait (kmer, mask).
 
-    A bait of at most ``BROADCAST_BAIT`` words is sent to the reads; the words of a greater one are looked up by shares.
+    A bait of at most ``BROADCAST_BAIT`` words is sent to the reads; the words of a greater one are looked up by shares:
+    ``questions()`` gives what the reads ask (``superwords.asked``, written) and the number of shares; without it they are written here.
     """
+    kind = reads.schema["doc_id"].dataType.simpleString()
     if bait.limit(BROADCAST_BAIT + 1).count() <= BROADCAST_BAIT:
         table = bait.orderBy("kmer").toArrow()
         words, masks = (table.column(c).to_numpy() for c in ("kmer", "mask"))
@@ -117,28 +129,30 @@ def target_counts(reads: DataFrame, bait: DataFrame, targets: int, k: int) -> Da
                     out += _by_target(p.read[at[maybe]], mask, len(part), targets)
                 yield pa.record_batch([part.column(0), _lists(out)], ["doc_id", "hits"])
 
-        found = reads.select("doc_id", "seq").mapInArrow(run, f"doc_id {reads.schema['doc_id'].dataType.simpleString()}, hits array<long>")
+        found = reads.select("doc_id", "seq").mapInArrow(run, f"doc_id {kind}, hits array<long>")
     else:
-        found = looked_up(reads, k, shares_for(reads), lambda read, mask, kinds: {"hits": _lists(_by_target(read, mask, len(kinds), targets))}, "hits array<long>", table=bait.select("kmer", F.col("mask").cast("long").alias("value")))
+        sent, shares = (questions or partial(written_questions, reads, k, checkpointed))()
+        found = answered(sent, k, lambda read, mask, kinds: {"hits": _lists(_by_target(read, mask, len(kinds), targets))}, f"doc_id {kind}, hits array<long>", table=bait.select("kmer", F.col("mask").cast("long").alias("value")), shares=shares)
     return found.select("doc_id", F.posexplode("hits").alias("target", "hits")).where("hits > 0")
 
 
-def shared_words(reads: DataFrame, targets: int, k: int, min_reads: int) -> DataFrame:
+def shared_words(reads: DataFrame, targets: int, k: int, min_reads: int, shares: int) -> DataFrame:
     """(kmer, mask): words that ``min_reads`` of the reads (mask, seq) of a target hold, with a bit for each such target."""
 
     def f(groups: dict) -> dict:
-        words, bits = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for t in range(targets):
-            own = [x for g, x in groups.items() if (g >> t) & 1]
-            if own:
-                w, n = totals(np.concatenate([x for x, _ in own]), np.concatenate([x for _, x in own]))
-                words.append(w[n >= min_reads])
-                bits.append(np.full(len(words[-1]), 1 << t))
-        w, b = np.concatenate(words), np.concatenate(bits)
-        kmer, mask = totals(w, b)  # each bit stands once for a word
-        return {"kmer": kmer, "mask": mask}
+        word = np.concatenate([np.zeros(0, np.int64), *(w for w, _ in groups.values())])
+        n = np.concatenate([np.zeros(0, np.int64), *(x for _, x in groups.values())])
+        group = np.repeat(np.array(list(groups), np.int64), [len(w) for w, _ in groups.values()])
+        order = np.argsort(word)
+        word, n, group = word[order], n[order], group[order]
+        starts = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]])) if len(word) else np.zeros(0, np.int64)
+        mask = np.zeros(len(starts), np.int64)
+        for t in range(targets if len(starts) else 0):
+            mask |= (np.add.reduceat(n * ((group >> t) & 1), starts) >= min_reads).astype(np.int64) << t
+        keep = mask != 0
+        return {"kmer": word[starts][keep], "mask": mask[keep]}
 
-    return counted(packets(reads, k, shares_for(reads), group="mask", once=True), k, f, "kmer long, mask long")
+    return counted(packets(reads, k, shares, group="mask", once=True), k, f, "kmer long, mask long")
 
 
 def fixpoint(reads: DataFrame, bait: DataFrame, targets: int, k: int, write, min_reads: int = 2, min_hits: int = 20, saturation: float = 0.05) -> DataFrame:
@@ -149,11 +163,13 @@ def fixpoint(reads: DataFrame, bait: DataFrame, targets: int, k: int, write, min
     lineage after each pass (``write(df, name) -> df``).
     """
     reads = write(reads.select("doc_id", "seq"), "reads")
+    questions = cache(partial(written_questions, reads, k, write))
+    shares = shares_for(reads)
     held = gained = write(bait.select("kmer", F.col("mask").cast("long").alias("mask")), "bait")
     hits = taken = None
     previous = 0
     for n in count(1):
-        found = target_counts(reads, gained, targets, k)
+        found = target_counts(reads, gained, targets, k, questions)
         if hits is not None:
             found = found.unionByName(hits).groupBy("doc_id", "target").agg(F.sum("hits").alias("hits"))
         hits = write(found, f"hits-{n}")
@@ -165,7 +181,7 @@ def fixpoint(reads: DataFrame, bait: DataFrame, targets: int, k: int, write, min
             return taken
         previous = size
         masks = new.groupBy("doc_id").agg(F.sum(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("target"))).alias("mask"))
-        added = shared_words(reads.join(masks, "doc_id").select("mask", "seq"), targets, k, min_reads)
+        added = shared_words(reads.join(masks, "doc_id").select("mask", "seq"), targets, k, min_reads, shares)
         old = held.select("kmer", F.col("mask").alias("old"))
         both = write(added.join(old, "kmer", "full").select("kmer", F.coalesce("old", F.lit(0)).alias("old"), F.coalesce("mask", F.lit(0)).alias("mask")), f"bait-{n}")
         held = both.select("kmer", F.col("old").bitwiseOR(F.col("mask")).alias("mask"))

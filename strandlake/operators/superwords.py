@@ -125,10 +125,13 @@ def shares_for(reads: DataFrame, seq: str = "seq") -> int:
     return max(1, math.ceil(bases / SHARE_WORDS))
 
 
-def _repeats(read: np.ndarray, word: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Words that one read holds n > 1 times, and n - 1, summed up over reads."""
+def _repeats(read: np.ndarray, word: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Read, word and n - 1 of words that a read holds n > 1 times."""
     r, w = sorted_words(read, word, k)
-    return totals(w[1:][(r[1:] == r[:-1]) & (w[1:] == w[:-1])])
+    again = np.flatnonzero((r[1:] == r[:-1]) & (w[1:] == w[:-1])) + 1
+    r, w = r[again], w[again]
+    starts = np.flatnonzero(np.concatenate([[True], (r[1:] != r[:-1]) | (w[1:] != w[:-1])])) if len(w) else again
+    return r[starts], w[starts], np.diff(np.append(starts, len(w)))
 
 
 def packets(reads: DataFrame, k: int, shares: int, group: str | None = None, once: bool = False, m: int = MINIMIZER) -> DataFrame:
@@ -137,49 +140,43 @@ def packets(reads: DataFrame, k: int, shares: int, group: str | None = None, onc
     m = min(m, k)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[Any, list] = {}
+        number: dict[Any, int] = {} if group else {None: 0}
+        held: list[tuple[np.ndarray, ...]] = []  # group's number, key, minimizer's hash, count
         size = 0
 
         def flush() -> pa.RecordBatch:
+            names = list(number)
+            code, keys, least, n = (np.concatenate(x) for x in zip(*held, strict=True))
+            place = share_of(least, shares) * len(names) + code
+            order = np.lexsort((keys, place))
+            keys, place, n = keys[order], place[order], n[order]
+            starts = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]) | (place[1:] != place[:-1])])) if len(keys) else np.zeros(0, np.int64)
+            keys, place = keys[starts], place[starts]
+            n = np.add.reduceat(n, starts) if len(starts) else n
             parts: dict[int, list] = {}
-            for name, pairs in held.items():
-                keys = np.concatenate([x for x, _, _ in pairs])
-                least = np.concatenate([x for _, x, _ in pairs])
-                n = np.concatenate([x for _, _, x in pairs])
-                share = share_of(least, shares)
-                order = np.lexsort((keys, share))
-                keys, share, n = keys[order], share[order], n[order]
-                starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-                keys, share, n = keys[starts], share[starts], np.add.reduceat(n, starts)
-                cuts = np.flatnonzero(np.concatenate([[True], share[1:] != share[:-1], [True]]))
-                for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-                    parts.setdefault(int(share[a]), []).append((name, _planes(np.diff(keys[a:b], prepend=0)), _planes(small(n[a:b]))))
+            cuts = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1], [True]])).tolist() if len(place) else []
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                share, g = divmod(int(place[a]), len(names))
+                parts.setdefault(share, []).append((names[g], _planes(np.diff(keys[a:b], prepend=0)), _planes(small(n[a:b]))))
             return pa.record_batch([pa.array(list(parts), pa.int32()), pa.array([dump(x) for x in parts.values()], pa.binary())], ["share", "body"])
 
         for batch in batches:
             for part in bounded(iter([batch])):
-                names = part.column(0).to_pylist() if group else None
-                codes, distinct = _numbered(names) if names else (None, [None])
+                names = part.column(0).to_pylist() if group else [None] * len(part)
+                codes = np.array([number.setdefault(x, len(number)) for x in names], np.int64)
                 seen: list[tuple[np.ndarray, np.ndarray]] = []
                 for p in pieces(part.column(1), k):
                     read, key, least = superwords(p, m)
                     size += int(p.ok.sum())
-                    for g, name in enumerate(distinct):
-                        own = slice(None) if codes is None else codes[read] == g
-                        if len(key[own]):
-                            held.setdefault(name, []).append((key[own], least[own], np.ones(len(key[own]), np.int64)))
+                    held.append((codes[read], key, least, np.ones(len(key), np.int64)))
                     if once:
                         seen.append((p.read[p.ok], p.canonical()[p.ok]))
-                if once and seen:
-                    read, word = (np.concatenate(x) for x in zip(*seen, strict=True))
-                    for g, name in enumerate(distinct):
-                        own = slice(None) if codes is None else codes[read] == g
-                        w, n = _repeats(read[own], word[own], k)
-                        if len(w):
-                            held.setdefault(name, []).append((w | (np.int64(1) << 2 * k), minimizer_of(w, k, m), -n))
+                if seen:
+                    read, word, n = _repeats(*(np.concatenate(x) for x in zip(*seen, strict=True)), k)
+                    held.append((codes[read], word | (np.int64(1) << 2 * k), minimizer_of(word, k, m), -n))
                 if size >= BATCH_WORDS:
                     yield flush()
-                    held, size = {}, 0
+                    held, size = [], 0
         if held:
             yield flush()
 
@@ -187,12 +184,6 @@ def packets(reads: DataFrame, k: int, shares: int, group: str | None = None, onc
     return reads.select(*columns).mapInArrow(run, "share int, body binary")
 
 
-def _numbered(names: list) -> tuple[np.ndarray, list]:
-    distinct = list(dict.fromkeys(names))
-    number = {x: i for i, x in enumerate(distinct)}
-    return np.array([number[x] for x in names]), distinct
-
-
 def minimizer_of(words: np.ndarray, k: int, m: int) -> np.ndarray:
     """The hash of each packed word's minimizer, as ``superwords`` has it."""
     mask = (1 << 2 * m) - 1
@@ -257,15 +248,19 @@ def spectrum(reads: DataFrame, k: int, shares: int, once: bool = False) -> DataF
     return each.groupBy("n").agg(F.sum("kmers").alias("kmers"))
 
 
-def looked_up(reads: DataFrame, k: int, shares: int, f: Callable[[np.ndarray, np.ndarray, np.ndarray], dict[str, np.ndarray]], schema: str, key: str = "doc_id", table: DataFrame | None = None, m: int = MINIMIZER) -> DataFrame:
+def looked_up(reads: DataFrame, k: int, shares: int, f: Callable[[np.ndarray, np.ndarray, np.ndarray], dict[str, np.ndarray]], schema: str, key: str = "doc_id", m: int = MINIMIZER) -> DataFrame:
     """(key, schema): ``f(read, n, distinct)`` of each batch of reads (key, seq).
 
-    ``read`` and ``n`` have an entry for each window: its read, and how often all reads hold its word, or with a ``table`` of distinct
-    (kmer, value) the word's value (0: none).  A read's entries are together.  ``distinct`` has the number of different words of each read (0 with a table).
+    ``read`` and ``n`` have an entry for each window: its read, and how often all reads hold its word.  A read's entries are together.
+    ``distinct`` has the number of different words of each read.
     """
+    return answered(asked(reads, k, shares, key, True, m), k, f, f"{key} {reads.schema[key].dataType.simpleString()}, {schema}", m=m)
+
+
+def asked(reads: DataFrame, k: int, shares: int, key: str = "doc_id", tally: bool = False, m: int = MINIMIZER) -> DataFrame:
+    """(share, batch, at, body): what batches of reads (key, seq) ask each share, and at -1 what a batch keeps; for ``answered``."""
     check_k(k)
-    m, tally = min(m, k), table is None
-    kind = reads.schema[key].dataType.simpleString()
+    m = min(m, k)
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         batch = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 32
@@ -314,6 +309,16 @@ def looked_up(reads: DataFrame, k: int, shares: int, f: Callable[[np.ndarray, np
         if rows:
             yield flush()
 
+    return reads.select(key, "seq").mapInArrow(ask, "share int, batch long, at int, body binary")
+
+
+def answered(sent: DataFrame, k: int, f: Callable[[np.ndarray, np.ndarray, np.ndarray], dict[str, np.ndarray]], schema: str, table: DataFrame | None = None, shares: int = 0, m: int = MINIMIZER) -> DataFrame:
+    """(schema): ``f(read, n, distinct)`` of each batch that ``asked``, as in ``looked_up``; the schema begins with the reads' key.
+
+    With a ``table`` of distinct (kmer, value), n is the word's value (0: none).  What was asked is read twice then, so it should be written.
+    """
+    m = min(m, k)
+
     def answer(packets: pa.Table, values: pa.Table | None = None) -> pa.Table:
         out, asked = [], []
         for batch, at, body in zip(*(packets.column(c).to_pylist() for c in ("batch", "at", "body")), strict=True):
@@ -352,14 +357,16 @@ def looked_up(reads: DataFrame, k: int, shares: int, f: Callable[[np.ndarray, np
         begin = np.cumsum(extra + 1) - extra - 1
         read = np.repeat(np.repeat(np.arange(len(ids)), lengths), extra[which] + 1)
         out = f(read, n[_spread(begin[which], extra[which])], distinct)
-        return pa.table([ids, *map(pa.array, out.values())], [key, *out])
+        return pa.table([ids, *map(pa.array, out.values())], names)
 
-    sent = reads.select(key, "seq").mapInArrow(ask, "share int, batch long, at int, body binary")
+    names = [x.split()[0] for x in schema.split(", ")]
+    columns = "batch long, at int, body binary"
     if table is None:
-        answered = sent.groupBy("share").applyInArrow(lambda x: answer(x), "batch long, at int, body binary")
+        answers = sent.groupBy("share").applyInArrow(lambda x: answer(x), columns)
     else:
-        answered = sent.groupBy("share").cogroup(_dealt(table, k, shares, m).groupBy("share")).applyInArrow(lambda x, y: answer(x, y), "batch long, at int, body binary")
-    return answered.groupBy("batch").applyInArrow(finish, f"{key} {kind}, {schema}")
+        mine, questions = sent.where("at < 0").select("batch", "at", "body"), sent.where("at >= 0")
+        answers = questions.groupBy("share").cogroup(_dealt(table, k, shares, m).groupBy("share")).applyInArrow(lambda x, y: answer(x, y), columns).unionByName(mine)
+    return answers.groupBy("batch").applyInArrow(finish, schema)
 
 
 def _dealt(table: DataFrame, k: int, shares: int, m: int) -> DataFrame:
