@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..storage import checkpointed
 from .kmers import blocks, bounded, kmers, pieces
-from .superwords import answered, asked, counted, packets, shares_for
+from .superwords import answered, asked, dealt, groups_of, packed, packets, shares_for, unpacked
 
 #: Fixed defaults by read type: word length, gap that blocks bridge, least share of words that hit, least block of a candidate.
 PRESETS = {"hifi": (21, 50, 0.2, 1000), "ont": (15, 200, 0.05, 2000), "sr": (21, 40, 0.2, None)}
@@ -104,11 +104,12 @@ def written_questions(reads: DataFrame, k: int, write: Callable[[DataFrame, str]
     return write(asked(reads, k, shares), "questions"), shares
 
 
-def target_counts(reads: DataFrame, bait: DataFrame, targets: int, k: int, questions: Callable[[], tuple[DataFrame, int]] | None = None) -> DataFrame:
+def target_counts(reads: DataFrame, bait: DataFrame, targets: int, k: int, questions: Callable[[], tuple[DataFrame, int]] | None = None, table: DataFrame | None = None) -> DataFrame:
     """(doc_id, target, hits) of reads (doc_id, seq) that hold words of the bait (kmer, mask).
 
     A bait of at most ``BROADCAST_BAIT`` words is sent to the reads; the words of a greater one are looked up by shares:
     ``questions()`` gives what the reads ask (``superwords.asked``, written) and the number of shares; without it they are written here.
+    ``table`` is the bait as ``superwords.dealt`` has it, where that is at hand.
     """
     kind = reads.schema["doc_id"].dataType.simpleString()
     if bait.limit(BROADCAST_BAIT + 1).count() <= BROADCAST_BAIT:
@@ -132,27 +133,50 @@ def target_counts(reads: DataFrame, bait: DataFrame, targets: int, k: int, quest
         found = reads.select("doc_id", "seq").mapInArrow(run, f"doc_id {kind}, hits array<long>")
     else:
         sent, shares = (questions or partial(written_questions, reads, k, checkpointed))()
-        found = answered(sent, k, lambda read, mask, kinds: {"hits": _lists(_by_target(read, mask, len(kinds), targets))}, f"doc_id {kind}, hits array<long>", table=bait.select("kmer", F.col("mask").cast("long").alias("value")), shares=shares)
+        if table is None:
+            table = dealt(bait.select("kmer", F.col("mask").cast("long").alias("value")), k, shares)
+        found = answered(sent, k, lambda read, mask, kinds: {"hits": _lists(_by_target(read, mask, len(kinds), targets))}, f"doc_id {kind}, hits array<long>", table=table)
     return found.select("doc_id", F.posexplode("hits").alias("target", "hits")).where("hits > 0")
 
 
-def shared_words(reads: DataFrame, targets: int, k: int, min_reads: int, shares: int) -> DataFrame:
-    """(kmer, mask): words that ``min_reads`` of the reads (mask, seq) of a target hold, with a bit for each such target."""
+def grown(held: DataFrame, reads: DataFrame, targets: int, k: int, min_reads: int, shares: int) -> DataFrame:
+    """(share, words, body, held): a bait (share, held) with the words that ``min_reads`` of the reads (mask, seq) of a target hold.
 
-    def f(groups: dict) -> dict:
-        word = np.concatenate([np.zeros(0, np.int64), *(w for w, _ in groups.values())])
-        n = np.concatenate([np.zeros(0, np.int64), *(x for _, x in groups.values())])
-        group = np.repeat(np.array(list(groups), np.int64), [len(w) for w, _ in groups.values()])
-        order = np.argsort(word)
+    A word has a bit for each such target.  ``body`` has what the bait gains, ``words`` their number.
+    """
+
+    def run(bodies: pa.Table, old: pa.Table) -> pa.Table:
+        groups = groups_of(bodies.column("body"), k)
+        before, mask = unpacked(old.column("held"))
+        word = np.concatenate([before, *(w for w, _ in groups.values())])
+        n = np.concatenate([np.zeros(len(before), np.int64), *(x for _, x in groups.values())])
+        group = np.repeat(np.array([0, *groups], np.int64), [len(before), *(len(w) for w, _ in groups.values())])
+        order = np.argsort(word, kind="stable")  # the bait's own entry of a word is its first
         word, n, group = word[order], n[order], group[order]
         starts = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]])) if len(word) else np.zeros(0, np.int64)
-        mask = np.zeros(len(starts), np.int64)
+        was = np.append(mask, np.zeros(len(word) - len(mask), np.int64))[order][starts]
+        now = np.zeros(len(starts), np.int64)
         for t in range(targets if len(starts) else 0):
-            mask |= (np.add.reduceat(n * ((group >> t) & 1), starts) >= min_reads).astype(np.int64) << t
-        keep = mask != 0
-        return {"kmer": word[starts][keep], "mask": mask[keep]}
+            now |= (np.add.reduceat(n * ((group >> t) & 1), starts) >= min_reads).astype(np.int64) << t
+        word, gain = word[starts], now & ~was
+        new, kept = gain != 0, (was | now) != 0
+        share = (bodies if len(bodies) else old).column("share")[0].as_py()
+        row = (share, int(new.sum()), packed(word[new], gain[new]), packed(word[kept], (was | now)[kept]))
+        return pa.table([pa.array([x], c) for x, c in zip(row, (pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)], ["share", "words", "body", "held"])
+
+    sent = packets(reads, k, shares, group="mask", once=True)
+    return sent.groupBy("share").cogroup(held.select("share", "held").groupBy("share")).applyInArrow(run, "share int, words long, body binary, held binary")
+
+
+def _rows(table: DataFrame) -> DataFrame:
+    """(kmer, mask) of a table (share, body)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for body in b.column(0):
+                yield pa.record_batch(list(map(pa.array, unpacked([body]))), ["kmer", "mask"])
 
-    return counted(packets(reads, k, shares, group="mask", once=True), k, f, "kmer long, mask long")
+    return table.select("body").mapInArrow(run, "kmer long, mask long")
 
 
 def fixpoint(reads: DataFrame, bait: DataFrame, targets: int, k: int, write, min_reads: int = 2, min_hits: int = 20, saturation: float = 0.05) -> DataFrame:
@@ -165,11 +189,12 @@ def fixpoint(reads: DataFrame, bait: DataFrame, targets: int, k: int, write, min
     reads = write(reads.select("doc_id", "seq"), "reads")
     questions = cache(partial(written_questions, reads, k, write))
     shares = shares_for(reads)
-    held = gained = write(bait.select("kmer", F.col("mask").cast("long").alias("mask")), "bait")
+    bait = dealt(bait.select("kmer", F.col("mask").cast("long").alias("value")), k, shares)
+    bait = write(bait.select("share", "body", F.col("body").alias("held")), "bait")
     hits = taken = None
     previous = 0
     for n in count(1):
-        found = target_counts(reads, gained, targets, k, questions)
+        found = target_counts(reads, _rows(bait), targets, k, questions, bait)
         if hits is not None:
             found = found.unionByName(hits).groupBy("doc_id", "target").agg(F.sum("hits").alias("hits"))
         hits = write(found, f"hits-{n}")
@@ -181,8 +206,4 @@ def fixpoint(reads: DataFrame, bait: DataFrame, targets: int, k: int, write, min
             return taken
         previous = size
         masks = new.groupBy("doc_id").agg(F.sum(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("target"))).alias("mask"))
-        added = shared_words(reads.join(masks, "doc_id").select("mask", "seq"), targets, k, min_reads, shares)
-        old = held.select("kmer", F.col("mask").alias("old"))
-        both = write(added.join(old, "kmer", "full").select("kmer", F.coalesce("old", F.lit(0)).alias("old"), F.coalesce("mask", F.lit(0)).alias("mask")), f"bait-{n}")
-        held = both.select("kmer", F.col("old").bitwiseOR(F.col("mask")).alias("mask"))
-        gained = both.select("kmer", F.col("mask").bitwiseAND(F.bitwise_not("old")).alias("mask")).where("mask <> 0")
+        bait = write(grown(bait, reads.join(masks, "doc_id").select("mask", "seq"), targets, k, min_reads, shares), f"bait-{n}")

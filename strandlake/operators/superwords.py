@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import math
 import pickle
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from typing import Any
 
 import numpy as np
@@ -199,22 +199,26 @@ def counted(sent: DataFrame, k: int, f: Callable[[dict[Any, tuple[np.ndarray, np
     """``f`` of each share's words: by group, distinct words (ascending) and how often they occur."""
 
     def run(table: pa.Table) -> pa.Table:
-        found: dict[Any, list] = {}
-        for body in table.column("body"):
-            for name, keys, n in load(body.as_py()):
-                found.setdefault(name, []).append((np.cumsum(_values(keys)), _values(n).astype(np.int64)))
-        groups = {}
-        for name, parts in found.items():
-            # copies of a superword first, then copies of a word
-            keys, n = totals(np.concatenate([x for x, _ in parts]), np.concatenate([x for _, x in parts]))
-            word, n = totals(words_of(keys, k), np.repeat(n, extra_words(keys, k) + 1))
-            groups[name] = (word[n > 0], n[n > 0])
-        out = f(groups)
-        return pa.table({c: pa.array(v) for c, v in out.items()})
+        return pa.table({c: pa.array(v) for c, v in f(groups_of(table.column("body"), k)).items()})
 
     return sent.groupBy("share").applyInArrow(run, schema)
 
 
+def groups_of(bodies: pa.ChunkedArray, k: int) -> dict[Any, tuple[np.ndarray, np.ndarray]]:
+    """By group, distinct words (ascending) and how often they occur, of a share's ``packets``."""
+    found: dict[Any, list] = {}
+    for body in bodies:
+        for name, keys, n in load(body.as_py()):
+            found.setdefault(name, []).append((np.cumsum(_values(keys)), _values(n).astype(np.int64)))
+    groups = {}
+    for name, parts in found.items():
+        # copies of a superword first, then copies of a word
+        keys, n = totals(np.concatenate([x for x, _ in parts]), np.concatenate([x for _, x in parts]))
+        word, n = totals(words_of(keys, k), np.repeat(n, extra_words(keys, k) + 1))
+        groups[name] = (word[n > 0], n[n > 0])
+    return groups
+
+
 def shared(sent: DataFrame, k: int) -> DataFrame:
     """(a, b, n): words that groups a <= b both hold, by share; a group's own words where a = b."""
 
@@ -254,7 +258,7 @@ def looked_up(reads: DataFrame, k: int, shares: int, f: Callable[[np.ndarray, np
     ``read`` and ``n`` have an entry for each window: its read, and how often all reads hold its word.  A read's entries are together.
     ``distinct`` has the number of different words of each read.
     """
-    return answered(asked(reads, k, shares, key, True, m), k, f, f"{key} {reads.schema[key].dataType.simpleString()}, {schema}", m=m)
+    return answered(asked(reads, k, shares, key, True, m), k, f, f"{key} {reads.schema[key].dataType.simpleString()}, {schema}")
 
 
 def asked(reads: DataFrame, k: int, shares: int, key: str = "doc_id", tally: bool = False, m: int = MINIMIZER) -> DataFrame:
@@ -312,12 +316,11 @@ def asked(reads: DataFrame, k: int, shares: int, key: str = "doc_id", tally: boo
     return reads.select(key, "seq").mapInArrow(ask, "share int, batch long, at int, body binary")
 
 
-def answered(sent: DataFrame, k: int, f: Callable[[np.ndarray, np.ndarray, np.ndarray], dict[str, np.ndarray]], schema: str, table: DataFrame | None = None, shares: int = 0, m: int = MINIMIZER) -> DataFrame:
+def answered(sent: DataFrame, k: int, f: Callable[[np.ndarray, np.ndarray, np.ndarray], dict[str, np.ndarray]], schema: str, table: DataFrame | None = None, m: int = MINIMIZER) -> DataFrame:
     """(schema): ``f(read, n, distinct)`` of each batch that ``asked``, as in ``looked_up``; the schema begins with the reads' key.
 
-    With a ``table`` of distinct (kmer, value), n is the word's value (0: none).  What was asked is read twice then, so it should be written.
+    With a ``table`` of distinct words (``dealt``), n is the word's value (0: none).  What was asked is read twice then, so it should be written.
     """
-    m = min(m, k)
 
     def answer(packets: pa.Table, values: pa.Table | None = None) -> pa.Table:
         out, asked = [], []
@@ -331,13 +334,13 @@ def answered(sent: DataFrame, k: int, f: Callable[[np.ndarray, np.ndarray, np.nd
             keys, n = totals(np.concatenate([x[2] for x in asked]), np.concatenate([x[3] for x in asked]))
             extra = extra_words(keys, k)
             word = words_of(keys, k)
-            order = np.argsort(word)
-            total = np.empty(len(word), np.int64)
             if values is None:
+                order = np.argsort(word)
+                total = np.empty(len(word), np.int64)
                 sums, starts = np.repeat(n, extra + 1)[order], np.flatnonzero(np.concatenate([[True], np.diff(word[order]) != 0]))
                 total[order] = np.repeat(np.add.reduceat(sums, starts), np.diff(np.append(starts, len(word))))
             else:
-                known, value = (values.column(c).to_numpy() for c in ("kmer", "value"))
+                known, value = unpacked(values.column("body"))
                 by = np.argsort(known)
                 known, value = np.append(known[by], -1), np.append(value[by], 0)
                 i = np.searchsorted(known[:-1], word)
@@ -365,19 +368,47 @@ def answered(sent: DataFrame, k: int, f: Callable[[np.ndarray, np.ndarray, np.nd
         answers = sent.groupBy("share").applyInArrow(lambda x: answer(x), columns)
     else:
         mine, questions = sent.where("at < 0").select("batch", "at", "body"), sent.where("at >= 0")
-        answers = questions.groupBy("share").cogroup(_dealt(table, k, shares, m).groupBy("share")).applyInArrow(lambda x, y: answer(x, y), columns).unionByName(mine)
+        answers = questions.groupBy("share").cogroup(table.select("share", "body").groupBy("share")).applyInArrow(lambda x, y: answer(x, y), columns).unionByName(mine)
     return answers.groupBy("batch").applyInArrow(finish, schema)
 
 
-def _dealt(table: DataFrame, k: int, shares: int, m: int) -> DataFrame:
-    """(share, kmer, value) of a table (kmer, value)."""
+def dealt(table: DataFrame, k: int, shares: int, m: int = MINIMIZER) -> DataFrame:
+    """(share, body): words and values of a table (kmer, value), some rows for each share."""
+    m = min(m, k)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def flush() -> pa.RecordBatch:
+            word, value = (np.concatenate(x) for x in zip(*held, strict=True))
+            share = share_of(minimizer_of(word, k, m), shares)
+            order = np.lexsort((word, share))
+            share, word, value = share[order], word[order], value[order]
+            cuts = np.flatnonzero(np.concatenate([[True], share[1:] != share[:-1], [True]])).tolist() if len(share) else []
+            bodies = [packed(word[a:b], value[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
+            return pa.record_batch([pa.array(share[cuts[:-1]], pa.int32()), pa.array(bodies, pa.binary())], ["share", "body"])
+
         for b in batches:
-            share = share_of(minimizer_of(b.column(0).to_numpy(), k, m), shares)
-            yield pa.record_batch([pa.array(share, pa.int32()), b.column(0), b.column(1)], ["share", "kmer", "value"])
+            held.append((b.column(0).to_numpy(), b.column(1).to_numpy()))
+            if sum(len(x) for x, _ in held) >= BATCH_WORDS:
+                yield flush()
+                held = []
+        if held:
+            yield flush()
+
+    return table.select("kmer", "value").mapInArrow(run, "share int, body binary")
+
+
+def packed(word: np.ndarray, value: np.ndarray) -> bytes:
+    """Ascending words and their values."""
+    return dump((_planes(np.diff(word, prepend=0)), _planes(small(value))))
+
 
-    return table.select("kmer", "value").mapInArrow(run, "share int, kmer long, value long")
+def unpacked(bodies: Iterable[pa.Scalar]) -> tuple[np.ndarray, np.ndarray]:
+    """Words and values of all bodies, in each body's order."""
+    parts = [load(b.as_py()) for b in bodies]
+    none = np.zeros(0, np.int64)
+    return np.concatenate([none, *(np.cumsum(_values(w)) for w, _ in parts)]), np.concatenate([none, *(_values(v).astype(np.int64) for _, v in parts)])
 
 
 def _spread(begin: np.ndarray, extra: np.ndarray) -> np.ndarray:
