@@ -86,7 +86,7 @@ def words_of(keys: np.ndarray, k: int) -> np.ndarray:
 
 def _planes(x: np.ndarray) -> tuple[str, bytes]:
     """An integer array as byte planes, which compress better than the values."""
-    return x.dtype.str, x.view(np.uint8).reshape(len(x), -1).T.tobytes()
+    return x.dtype.str, x.view(np.uint8).reshape(len(x), x.dtype.itemsize).T.tobytes()
 
 
 def _values(x: tuple[str, bytes]) -> np.ndarray:
