@@ -9,16 +9,21 @@ the distance share a cell of some grid.  Within a cell, pairs pass the Manhattan
 Only links that connect what isn't connected yet leave a cell, so a cell of n fingerprints gives at most n - 1 links
 for a whole group of near copies, whatever its size.
 
-``keep_one_similar`` works by the Jaccard similarity of shingle sets instead.  At 0.8 fingerprints differ by about ten bits, for
-which a grid of 64 bits has too many cells that hold everything; pairs are found in bands of least shingle hashes,
-fingerprints within WIDE bits pass, then sets whose sizes and parity vectors allow the similarity, and the exact similarity of
+``keep_one_similar`` decides by the Jaccard similarity of shingle sets, and finds pairs by the same grid join.  At 0.8 fingerprints
+differ by about 15 % of their bits, for which three whole groups of one word don't tell pairs apart.  So a set has several words of
+64 bits, and a grid's cells are the counts in some of one word's segments, drawn at random: as many segments as hold a cell to
+about MATES unlike sets, and as many grids as a pair at that similarity misses altogether with probability MISS.  Within a
+cell pairs pass the Manhattan bound, then the exact distance, both over the grid's word and the next.  What such links connect is compared
+further: fingerprints within WIDE bits, sets whose sizes and parity vectors allow the similarity, and the exact similarity of
 both sets decides.  Sets differ in at least as many shingles as their parity vectors in bits, so these drop no similar pair.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import accumulate, combinations, repeat
+from math import acos, ceil, comb, log, pi, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -32,13 +37,14 @@ from .components import connected_components
 SEED = 42
 BITS = 64
 _PAIRS = 0x5555555555555555
-#: Bands of so many least hashes each.  A pair at similarity 0.8 shares none with probability (1 - 0.8^4)^24, 3 in a million.
-BANDS, BAND_ROWS = 24, 4
+#: A pair of sets at just the similarity asked for shares no grid's cell with this probability at most.
+MISS = 1e-6
+#: Unlike sets that a cell holds at most, of random fingerprints; grids of one round, whose rows are on disk at the same time.
+MATES, ROUND = 128, 64
 #: Bits that fingerprints of shingle sets may differ by before the exact test; at similarity 0.8 about 10, with a deviation of 3.
 WIDE = 24
 #: Bits of a parity vector: at least two for each shingle, from the first to the last of these.
 PARITY_BITS = 64, 1 << 16
-_ODD = np.random.default_rng(SEED).integers(0, 1 << 63, (BANDS * BAND_ROWS, 2), np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def fingerprint(text: str, width: int = 4) -> int:
@@ -92,6 +98,17 @@ def set_fingerprint(hashes: np.ndarray) -> int:
     return sum(1 << i for i in np.flatnonzero(2 * counts > len(hashes)).tolist())
 
 
+def set_words(hashes: np.ndarray, words: int) -> np.ndarray:
+    """Majority bits of a shingle set in so many words of 64 bits, each of the hashes mixed in its own way."""
+    counts, salts = np.zeros(BITS * words, np.int64), np.random.default_rng(SEED).integers(0, 1 << 63, words, np.uint64)
+    for at in range(0, len(hashes), 255):  # counts of so many fit a byte
+        x = (hashes[at : at + 255, None] ^ salts) * np.uint64(0xFF51AFD7ED558CCD)
+        x = (x ^ (x >> np.uint64(32))) * np.uint64(0xC4CEB9FE1A85EC53)
+        x ^= x >> np.uint64(32)
+        counts += np.add.reduce(np.unpackbits(x.view(np.uint8), axis=1, bitorder="little"), axis=0, dtype=np.uint8)
+    return np.packbits(2 * counts > len(hashes), bitorder="little").view(np.uint64)
+
+
 def parities(hashes: np.ndarray) -> bytes:
     """By bit, whether an odd number of the hashes falls on it.
 
@@ -140,14 +157,6 @@ class _Parities:
         return ok
 
 
-def bands(hashes: np.ndarray) -> np.ndarray:
-    """A key for each band: the hash of its number and its least hashes under BAND_ROWS functions."""
-    least = np.full(len(_ODD), np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(hashes), 4096):
-        np.minimum(least, (hashes[at : at + 4096] * _ODD[:, :1] + _ODD[:, 1:]).min(1), out=least)
-    return np.array([xxhash.xxh64_intdigest(part.tobytes(), i) for i, part in enumerate(least.reshape(BANDS, BAND_ROWS))], np.uint64).view(np.int64)
-
-
 def segment_counts(x: np.ndarray) -> np.ndarray:
     """Bit counts of the 32 two-bit segments, in two bits each of a 64-bit integer."""
     x = x.view(np.uint64)
@@ -194,9 +203,12 @@ class _Forest:
 LARGE_CELL = 4096
 
 
-def connect(cell: np.ndarray, fps: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links (fingerprint, least connected one of its cell) over rows sorted by ``cell`` and distinct within it."""
-    n = len(fps)
+def connect(cell: np.ndarray, fps: np.ndarray, distance: int, other: np.ndarray | None = None, names: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Links (fingerprint, least connected one of its cell) over rows sorted by ``cell`` and distinct within it.
+
+    ``other``: a second word of each fingerprint; distances are then of both.  ``names``: what links are to hold instead.
+    """
+    n, names = len(fps), fps if names is None else names
     counts, forest = segment_counts(fps), _Forest(n)
     bits = fps.view(np.uint64)
     starts = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
@@ -204,10 +216,13 @@ def connect(cell: np.ndarray, fps: np.ndarray, distance: int) -> tuple[np.ndarra
     big = sizes > LARGE_CELL
     ends = np.repeat(starts + sizes, sizes)
 
+    words = [bits] if other is None else [bits, other.view(np.uint64)]
+    bounds = [counts, *(segment_counts(w) for w in words[1:])]
+
     def test(i: np.ndarray, j: np.ndarray) -> None:
-        ok = manhattan(counts[i], counts[j]) <= distance
+        ok = sum(manhattan(c[i], c[j]) for c in bounds) <= distance
         i, j = i[ok], j[ok]
-        ok = np.bitwise_count(bits[i] ^ bits[j]) <= distance
+        ok = sum(np.bitwise_count(w[i] ^ w[j]) for w in words) <= distance
         forest.join(i[ok], j[ok])
 
     i = np.flatnonzero(np.repeat(~big & (sizes > 1), sizes))
@@ -222,7 +237,11 @@ def connect(cell: np.ndarray, fps: np.ndarray, distance: int) -> tuple[np.ndarra
         at = np.arange(start, start + size)
         order = at[np.argsort(bits[at], kind="stable")]
         ranked = bits[order]
-        for b in range(BITS):
+        if other is not None:  # near copies are more than one bit apart there: with some rows and the next one
+            for x in at[:: max(1, size // 8)].tolist():
+                test(np.full(size, x), at)
+            test(order[:-1], order[1:])
+        for b in range(BITS if other is None else 0):
             flipped = ranked ^ np.uint64(1 << b)
             k = np.minimum(np.searchsorted(ranked, flipped), size - 1)
             hit = ranked[k] == flipped
@@ -236,7 +255,7 @@ def connect(cell: np.ndarray, fps: np.ndarray, distance: int) -> tuple[np.ndarra
                 test(np.full(len(others), x), others)
     root = forest.find(np.arange(n))
     linked = root != np.arange(n)
-    return fps[linked], fps[root[linked]]
+    return names[linked], names[root[linked]]
 
 
 def links(fps: DataFrame, distance: int = 4) -> DataFrame:
@@ -244,24 +263,29 @@ def links(fps: DataFrame, distance: int = 4) -> DataFrame:
     if not 0 <= distance <= 8:
         raise ValueError("distance must be from 0 to 8")
     packed = _packed(F.col("fp"))
-    signed = lambda m: m - (1 << 64) if m >= 1 << 63 else m
-    cells = F.array(*(F.struct(F.lit(c).cast("short").alias("grid"), packed.bitwiseAND(F.lit(signed(m))).alias("cell")) for c, m in enumerate(grid_masks(distance))))
+    cells = F.array(*(F.struct(F.lit(c).cast("short").alias("grid"), packed.bitwiseAND(F.lit(_signed(m))).alias("cell")) for c, m in enumerate(grid_masks(distance))))
     dealt = fps.select("fp", F.explode(cells).alias("at")).select("at.grid", "at.cell", "fp")
-    dealt = dealt.repartition("grid", "cell").sortWithinPartitions("grid", "cell", "fp")
+    return _linked(dealt.repartition("grid", "cell").sortWithinPartitions("grid", "cell", "fp"), distance)
+
+
+def _linked(dealt: DataFrame, distance: int) -> DataFrame:
+    """Distinct links (a, b) by ``connect`` of each cell; dealt (grid, cell, fp and maybe other, node) has cells in one piece."""
+    width = len(dealt.columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []  # rows of the last cell so far, as (grid, cell, fp)
+        held: list[np.ndarray] = []  # rows of the last cell so far
 
         def flush(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
             number = np.cumsum(np.r_[0, (rows[:2, 1:] != rows[:2, :-1]).any(0)])
             # cells of one row have nothing to link
             alone = np.bincount(number)[number] == 1
             if not alone.all():
-                a, b = connect(number[~alone], np.ascontiguousarray(rows[2, ~alone]), distance)
+                fp, *more = (np.ascontiguousarray(x) for x in rows[2:, ~alone])
+                a, b = connect(number[~alone], fp, distance, *more)
                 yield pa.record_batch([pa.array(a), pa.array(b)], ["a", "b"])
 
         for batch in batches:
-            rows = np.stack([batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(3)])
+            rows = np.stack([batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(width)])
             if not rows.shape[1]:
                 continue
             new = (rows[:2, 1:] != rows[:2, :-1]).any(0)
@@ -279,6 +303,49 @@ def links(fps: DataFrame, distance: int = 4) -> DataFrame:
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
+def _signed(mask: int) -> int:
+    return mask - (1 << 64) if mask >= 1 << 63 else mask
+
+
+class Grids:
+    """Grids for sets of at least ``similarity``, below 1, among so many; each set has ``words`` words.
+
+    ``masks``: by word, one over its packed counts for each grid.  ``distance``: bits that two words of such sets differ by at
+    most, but for 3.5 deviations.  ``missed``: the probability that a pair at the similarity is in no cell together.
+    """
+
+    def __init__(self, similarity: float, sets: int) -> None:
+        n = BITS // 2
+        flip = acos(min(1.0, 2 * similarity / (1 + similarity))) / pi
+        same = (1 - flip) ** 2 + flip**2 / 2  # a segment's count
+        k = min(max(8, ceil(log(max(sets, 1) / MATES) / log(8 / 3))), n // 2)  # unlike segments have the same count 3 times in 8
+        grids = ceil(1.3 / same**k)
+        one = sum(comb(n, x) * same**x * (1 - same) ** (n - x) * (1 - comb(x, k) / comb(n, k)) ** grids for x in range(n + 1))
+        one = max(one, MISS**2)
+        self.words = max(2, ceil(log(MISS) / log(one)))
+        self.missed = one**self.words
+        self.distance = int(2 * BITS * flip + 3.5 * sqrt(2 * BITS * flip * (1 - flip)))
+        rng = np.random.default_rng(SEED)
+        self.masks = [[sum(3 << (2 * int(s)) for s in rng.choice(n, k, replace=False)) for _ in range(grids)] for _ in range(self.words)]
+
+
+def similar_links(nodes: DataFrame, grids: Grids) -> DataFrame:
+    """Links (a, b) that connect ``nodes`` (node, words) as all pairs within the grids' distance in a cell do."""
+    each = max(1, ROUND // len(grids.masks[0]))
+    out = []
+    for at in range(0, grids.words, each):
+        part = range(at, min(at + each, grids.words))
+        word = lambda w: F.col("words")[w % grids.words]
+        wide = nodes.select("node", *(word(w).alias(f"w{w}") for w in (*part, part[-1] + 1)), *(_packed(word(w)).alias(f"p{w}") for w in part))
+        cells = [(w, m) for w in part for m in grids.masks[w]]
+        cells = F.array(*(F.struct(F.lit(c).cast("short").alias("grid"), F.col(f"p{w}").bitwiseAND(F.lit(_signed(m))).alias("cell"), F.col(f"w{w}").alias("fp"), F.col(f"w{w + 1}").alias("other")) for c, (w, m) in enumerate(cells)))
+        dealt = wide.select("node", F.explode(cells).alias("at")).select("at.grid", "at.cell", "at.fp", "at.other", "node")
+        out.append(materialize(_linked(dealt.repartition("grid", "cell").sortWithinPartitions("grid", "cell", "node"), grids.distance), "simhash-grids"))
+        del dealt
+        nodes.sparkSession._jvm.System.gc()  # Spark deletes a shuffle's files once nothing on the driver's heap refers to it
+    return reduce(DataFrame.unionByName, out).distinct()
+
+
 def _packed(x):
     """segment_counts on a column: in halves of 32 bits, as long arithmetic must not overflow."""
     half = F.lit(0x55555555)
@@ -320,13 +387,6 @@ def keep_one(docs: DataFrame, distance: int = 4, width: int = 4) -> DataFrame:
     return keyed.join(stays, own, "left_semi").dropDuplicates([own]).drop(own)
 
 
-def _cells(nodes: DataFrame) -> DataFrame:
-    """(cell, node, fp): the bands of ``nodes`` (node, fp, bands) that two or more share."""
-    dealt = nodes.select(F.explode("bands").alias("cell"), "node", "fp")
-    shared = dealt.groupBy("cell").agg(F.min("node").alias("x"), F.max("node").alias("y")).where("x < y").select("cell", F.col("x").alias("centre"))
-    return dealt.join(shared, "cell")
-
-
 def _across(cells: DataFrame, similarity: float, forest: bool) -> DataFrame:
     """(a, b), a < b: pairs of nodes of a cell that have different roots, fingerprints within WIDE bits and parities that allow
     the similarity; cells (cell, node, fp, root, size, parity).  ``forest``: only those that connect what no such pair of the
@@ -416,7 +476,8 @@ def keep_one_similar(docs: DataFrame, similarity: float = 0.8, width: int = 5) -
     """One row of each group that pairs of at least ``similarity`` connect, with all its columns: that of the smallest doc_id (null last).
 
     Similarity is Jaccard's, of the sets of ``width``-word shingles.  Texts without words, nulls among them, are copies of each
-    other; rows with equal sets are one node, so copies aren't expanded.  Each node is tested with the least of its cells first.
+    other; rows with equal sets are one node, so copies aren't expanded.  A grid join of the sets' fingerprints tells what may be
+    similar; what its links connect is a cell of what follows.  Each node is tested with the least of its cell first.
     Of the pairs that aren't connected by then and whose parity vectors allow the similarity, those that would connect a cell are
     next, and then all that are still apart.
     """
@@ -428,18 +489,23 @@ def keep_one_similar(docs: DataFrame, similarity: float = 0.8, width: int = 5) -
             sets = [shingle_set(t, width) for t in texts]
             named = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], np.uint64).view(np.int64)
             fps = np.array([set_fingerprint(s) for s in sets], np.uint64).view(np.int64)
-            return pa.record_batch([batch.column(0), batch.column(1), pa.array(named), pa.array(fps), pa.array([bands(s) for s in sets], pa.list_(pa.int64())), pa.array([len(s) for s in sets], pa.int64()), pa.array([parities(s) for s in sets], pa.binary())], ["key", "doc_id", "node", "fp", "bands", "size", "parity"])
+            # a smaller set has no other one as similar
+            words = [set_words(s, count).view(np.int64) if len(s) * (1 - similarity) >= similarity - 1e-6 else None for s in sets]
+            return pa.record_batch([batch.column(0), batch.column(1), pa.array(named), pa.array(fps), pa.array(words, pa.list_(pa.int64())), pa.array([len(s) for s in sets], pa.int64()), pa.array([parities(s) for s in sets], pa.binary())], ["key", "doc_id", "node", "fp", "words", "size", "parity"])
 
         return f
 
+    grids = Grids(similarity, docs.count())
+    count = grids.words
     ided = keyed.select(F.col(own).alias("key"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = map_texts(ided, kernel, "key long, doc_id long, node long, fp long, bands array<long>, size long, parity binary")
-    least = rows.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key", "fp", "bands", "size", "parity")).alias("least"))
-    nodes = materialize(least.select("node", F.struct("least.none", "least.doc_id", "least.key").alias("least"), "least.fp", "least.bands", "least.size", "least.parity"), "simhash-nodes")
-    cells = materialize(_cells(nodes), "simhash-cells")
+    rows = map_texts(ided, kernel, "key long, doc_id long, node long, fp long, words array<long>, size long, parity binary")
+    least = rows.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key", "fp", "words", "size", "parity")).alias("least"))
+    nodes = materialize(least.select("node", F.struct("least.none", "least.doc_id", "least.key").alias("least"), "least.fp", "least.words", "least.size", "least.parity"), "simhash-nodes")
+    groups = connected_components(similar_links(nodes.where("words is not null"), grids)).withColumnRenamed("root", "centre")
+    cells = materialize(nodes.select("node", "fp").join(groups, "node").select(F.col("centre").alias("cell"), "node", "fp", "centre"), "simhash-cells")
     texts = keyed.select(own, "text").join(nodes.select("node", F.col("least.key").alias(own)), own).dropDuplicates(["node"]).select("node", "text")
-    # first with the least of the cells: a group of near copies is one after it
-    centres = cells.where("node <> centre").groupBy("node").agg(F.min("centre").alias("a"), F.first("fp").alias("fp"))
+    # first with the least of the cell: a group of near copies is one after it
+    centres = cells.where("node <> centre").select("node", F.col("centre").alias("a"), "fp")
     close = F.bit_count(F.col("fp").bitwiseXOR(F.col("afp"))) <= WIDE
     near = nodes.select(F.col("node").alias("a"), F.col("fp").alias("afp"))
     first = materialize(centres.join(near, "a").where(close).select("a", F.col("node").alias("b")), "simhash-pairs")

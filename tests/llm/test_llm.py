@@ -396,6 +396,48 @@ def test_pipeline_drops_near_copies_of_five_word_shingles(spark, odd, empty):
     assert out.columns == odd.columns and out.where("doc_id = 101").count() == 1 and corpus_pipeline.near_duplicates(spark, empty, SF).count() == 0
 
 
+@pytest.mark.parametrize("large", [4096, 3])
+def test_grids_of_segment_counts_hold_similar_sets(spark, monkeypatch, large):
+    monkeypatch.setattr(simhash, "LARGE_CELL", large)
+    rng = np.random.default_rng(6)
+    # pairs of sets at 0.8 or little more: in common, only in one, only in the other
+    kinds = [(4, 0, 1), (8, 2, 0), (8, 1, 1), (12, 2, 1), (40, 5, 5), (40, 10, 0), (200, 25, 25), (600, 150, 0), (900, 50, 40)]
+    sets = []
+    for c, x, y in [k for k in kinds for _ in range(20)]:
+        h = np.unique(rng.integers(0, 1 << 63, c + x + y).astype(np.uint64))
+        rng.shuffle(h)
+        sets += [np.sort(h[: c + x]), np.sort(np.concatenate([h[:c], h[c + x :]]))]
+    grids = simhash.Grids(0.8, len(sets))
+    assert grids.missed <= simhash.MISS and simhash.Grids(0.8, 10**7).missed <= simhash.MISS and simhash.Grids(1.0, 5).words
+    words = np.array([simhash.set_words(s, grids.words) for s in sets])
+    i, j = np.triu_indices(len(sets), 1)
+    for w in range(3):  # the bound
+        c = simhash.segment_counts(words[:, w])
+        assert (simhash.manhattan(c[i], c[j]) <= np.bitwise_count(words[i, w] ^ words[j, w])).all()
+    # by brute force: links of some cell within the distance
+    forest = simhash._Forest(len(sets))
+    for w, masks in enumerate(grids.masks):
+        near = sum(np.bitwise_count(words[i, v] ^ words[j, v]) for v in (w, (w + 1) % grids.words)) <= grids.distance
+        c = simhash.segment_counts(words[:, w])
+        for m in masks:
+            ok = near & ((c[i] ^ c[j]) & np.uint64(m) == 0)
+            forest.join(i[ok], j[ok])
+    df = spark.createDataFrame([(n, w) for n, w in enumerate(words.view(np.int64).tolist())], "node long, words array<long>")
+    got = {r["node"]: r["root"] for r in connected_components(simhash.similar_links(df, grids)).collect()}
+    roots = [got.get(n, n) for n in range(len(sets))]
+    assert roots == forest.find(np.arange(len(sets))).tolist()
+    assert all(roots[n] == roots[n + 1] for n in range(0, len(sets), 2))
+    assert len(set(roots)) > len(sets) / 2 - 5
+
+
+def test_near_copies_are_found_by_the_grid_join_only(spark, monkeypatch):
+    words = [f"w{n}" for n in range(60)]
+    df = spark.createDataFrame([(0, " ".join(words)), (1, " ".join(words[:59])), (2, "a b c")], "doc_id long, text string")
+    assert {r["doc_id"] for r in simhash.keep_one_similar(df).collect()} == {0, 2}
+    monkeypatch.setattr(simhash, "similar_links", lambda nodes, grids: spark.createDataFrame([], "a long, b long"))
+    assert {r["doc_id"] for r in simhash.keep_one_similar(df).collect()} == {0, 1, 2}
+
+
 # 7 ------------------------------------------------------------------------------------------------------------------
 
 
