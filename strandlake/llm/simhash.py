@@ -41,6 +41,8 @@ _PAIRS = 0x5555555555555555
 MISS = 1e-6
 #: Unlike sets that a cell holds at most, of random fingerprints; grids of one round, whose rows are on disk at the same time.
 MATES, ROUND = 128, 64
+#: Passes over the pairs that would connect a cell, at most, before all that are still apart are tested.
+ORDERS = 6
 #: Bits that fingerprints of shingle sets may differ by before the exact test; at similarity 0.8 about 10, with a deviation of 3.
 WIDE = 24
 #: Bits of a parity vector: at least two for each shingle, from the first to the last of these.
@@ -387,12 +389,12 @@ def keep_one(docs: DataFrame, distance: int = 4, width: int = 4) -> DataFrame:
     return keyed.join(stays, own, "left_semi").dropDuplicates([own]).drop(own)
 
 
-def _across(cells: DataFrame, similarity: float, forest: bool) -> DataFrame:
+def _across(cells: DataFrame, similarity: float, forest: bool, order: int = 0) -> DataFrame:
     """(a, b), a < b: pairs of nodes of a cell that have different roots, fingerprints within WIDE bits and parities that allow
     the similarity; cells (cell, node, fp, root, size, parity).  ``forest``: only those that connect what no such pair of the
-    cell before them does.
+    cell before them does, in one of several orders.
     """
-    dealt = cells.select("cell", "node", "fp", "root", "size", "parity").repartition("cell").sortWithinPartitions("cell", "node")
+    dealt = cells.select("cell", "node", "fp", "root", "size", "parity").repartition("cell").sortWithinPartitions("cell", F.xxhash64("node", F.lit(order)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, list[bytes]]] = []  # the last cell so far: (cell, node, fp, root, size), parity
@@ -422,7 +424,8 @@ def _across(cells: DataFrame, similarity: float, forest: bool) -> DataFrame:
                     hit = hit[np.unique(np.minimum(x, y) * n + np.maximum(x, y), return_index=True)[1]]
                     trees.join(hit, hit + step)
                 if len(hit):
-                    yield pa.record_batch([pa.array(node[hit]), pa.array(node[hit + step])], ["a", "b"])
+                    x, y = node[hit], node[hit + step]
+                    yield pa.record_batch([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
                 step += 1
 
         for batch in batches:
@@ -479,7 +482,7 @@ def keep_one_similar(docs: DataFrame, similarity: float = 0.8, width: int = 5) -
     other; rows with equal sets are one node, so copies aren't expanded.  A grid join of the sets' fingerprints tells what may be
     similar; what its links connect is a cell of what follows.  Each node is tested with the least of its cell first.
     Of the pairs that aren't connected by then and whose parity vectors allow the similarity, those that would connect a cell are
-    next, and then all that are still apart.
+    next, in several orders while they find some, and then all that are still apart.
     """
     own = free_name(docs, "key")
     keyed = docs.withColumn(own, F.xxhash64("doc_id", F.lit("/"), "text"))
@@ -511,14 +514,20 @@ def keep_one_similar(docs: DataFrame, similarity: float = 0.8, width: int = 5) -
     first = materialize(centres.join(near, "a").where(close).select("a", F.col("node").alias("b")), "simhash-pairs")
     linked = _similar(first, texts, similarity, width)
     tested = first
-    for forest in (True, False):
+    forest, order = True, 0
+    while True:
         parts = connected_components(linked)
         placed = cells.join(parts, "node", "left").withColumn("root", F.coalesce("root", "node"))
         mixed = placed.groupBy("cell").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("cell")
         mixed = placed.join(mixed, "cell", "left_semi").join(nodes.select("node", "size", "parity"), "node")
-        rest = materialize(_across(mixed, similarity, forest).join(tested, ["a", "b"], "left_anti"), "simhash-pairs")
-        linked = linked.unionByName(_similar(rest, texts, similarity, width))
-        tested = tested.unionByName(rest)
+        rest = materialize(_across(mixed, similarity, forest, order).join(tested, ["a", "b"], "left_anti"), "simhash-pairs")
+        more = _similar(rest, texts, similarity, width)
+        linked, tested = linked.unionByName(more), tested.unionByName(rest)
+        if not forest:
+            break
+        # a pair that isn't similar may stand for some that are; another order has others
+        order += 1
+        forest = order < ORDERS and not more.isEmpty()
     drop_materialized(cells)
     roots = nodes.select("node", "least").join(connected_components(linked), "node", "left").withColumn("root", F.coalesce("root", "node"))
     stays = roots.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.key").alias(own))
