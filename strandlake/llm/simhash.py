@@ -390,9 +390,9 @@ def keep_one(docs: DataFrame, distance: int = 4, width: int = 4) -> DataFrame:
 
 
 def _across(cells: DataFrame, similarity: float, forest: bool, order: int = 0) -> DataFrame:
-    """(a, b), a < b: pairs of nodes of a cell that have different roots, fingerprints within WIDE bits and parities that allow
-    the similarity; cells (cell, node, fp, root, size, parity).  ``forest``: only those that connect what no such pair of the
-    cell before them does, in one of several orders.
+    """(cell, a, b, ra, rb), a < b: pairs of nodes of a cell that have different roots (ra, rb), fingerprints within WIDE bits and
+    parities that allow the similarity; cells (cell, node, fp, root, size, parity), a node once.  ``forest``: only those that connect
+    what no such pair of the cell before them does, in one of several orders.
     """
     dealt = cells.select("cell", "node", "fp", "root", "size", "parity").repartition("cell").sortWithinPartitions("cell", F.xxhash64("node", F.lit(order)))
 
@@ -424,8 +424,8 @@ def _across(cells: DataFrame, similarity: float, forest: bool, order: int = 0) -
                     hit = hit[np.unique(np.minimum(x, y) * n + np.maximum(x, y), return_index=True)[1]]
                     trees.join(hit, hit + step)
                 if len(hit):
-                    x, y = node[hit], node[hit + step]
-                    yield pa.record_batch([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
+                    x, y = np.where(node[hit] < node[hit + step], (hit, hit + step), (hit + step, hit))
+                    yield pa.record_batch([pa.array(c) for c in (cell[x], node[x], node[y], root[x], root[y])], ["cell", "a", "b", "ra", "rb"])
                 step += 1
 
         for batch in batches:
@@ -445,11 +445,45 @@ def _across(cells: DataFrame, similarity: float, forest: bool, order: int = 0) -
         if held:
             yield from flush(held)
 
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    return dealt.mapInArrow(run, "cell long, a long, b long, ra long, rb long")
+
+
+def _joined(links: DataFrame) -> DataFrame:
+    """(root, to): for each root that ``links`` (cell, ra, rb) within cells connect with lesser ones, the least of these.
+
+    A cell's links meet in one task, as its nodes do in ``_across``; this takes one shuffle, and no rounds.
+    """
+    dealt = links.select("cell", "ra", "rb").repartition("cell").sortWithinPartitions("cell")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []  # links of the last cell so far
+
+        def flush(rows: np.ndarray) -> pa.RecordBatch:
+            names, at = np.unique(rows[1:], return_inverse=True)
+            trees, each = _Forest(len(names)), np.arange(len(names))
+            trees.join(*at.reshape(2, -1))
+            root = trees.find(each)
+            moved = root != each
+            return pa.record_batch([pa.array(names[moved]), pa.array(names[root[moved]])], ["root", "to"])
+
+        for batch in batches:
+            rows = np.stack([batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(3)])
+            if not rows.shape[1]:
+                continue
+            rows = np.concatenate([*held, rows], axis=1)
+            cut = int(np.searchsorted(rows[0], rows[0, -1]))
+            if cut:
+                yield flush(rows[:, :cut])
+            held = [rows[:, cut:]]
+        if held:
+            yield flush(held[0])
+
+    return dealt.mapInArrow(run, "root long, to long")
 
 
 def _similar(pairs: DataFrame, texts: DataFrame, similarity: float, width: int) -> DataFrame:
-    """Those of ``pairs`` (a, b) whose shingle sets are as similar; texts (node, text)."""
+    """Those of ``pairs`` (a, b and other longs) whose shingle sets are as similar; texts (node, text)."""
+    own = len(pairs.columns)
 
     def sets():
         def f(batch: pa.RecordBatch, part: list[str]) -> pa.RecordBatch:
@@ -460,17 +494,18 @@ def _similar(pairs: DataFrame, texts: DataFrame, similarity: float, width: int)
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ok = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
+            for x, y in zip(batch.column(own), batch.column(own + 1), strict=True):
                 x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 ok.append(both >= similarity * (len(x) + len(y) - both) - 1e-9)
-            yield batch.select([0, 1]).filter(pa.array(ok, pa.bool_()))
+            yield batch.select(range(own)).filter(pa.array(ok, pa.bool_()))
 
     asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     known = materialize(map_texts(texts.join(asked, "node", "left_semi").select("node", "text"), sets, "node long, set binary"), "simhash-sets")
     one = known.select(F.col("node").alias("a"), F.col("set").alias("x"))
     two = known.select(F.col("node").alias("b"), F.col("set").alias("y"))
-    out = materialize(pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(test, "a long, b long"), "simhash-similar")
+    both = pairs.join(one, "a").join(two, "b").select(*pairs.columns, "x", "y")
+    out = materialize(both.mapInArrow(test, ", ".join(f"{c} long" for c in pairs.columns)), "simhash-similar")
     drop_materialized(known)
     return out
 
@@ -513,22 +548,28 @@ def keep_one_similar(docs: DataFrame, similarity: float = 0.8, width: int = 5) -
     near = nodes.select(F.col("node").alias("a"), F.col("fp").alias("afp"))
     first = materialize(centres.join(near, "a").where(close).select("a", F.col("node").alias("b")), "simhash-pairs")
     linked = _similar(first, texts, similarity, width)
+    # these links are stars, so the centre is the root; later links are between roots, which are joined cell by cell
+    early = materialize(cells.join(linked.select(F.col("b").alias("node"), F.col("a").alias("root")), "node", "left").select("cell", "node", F.coalesce("root", "node").alias("root")), "simhash-roots")
+    drop_materialized(cells)
+    mixed = early.groupBy("cell").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("cell")
+    late = materialize(early.join(mixed, "cell", "left_semi").join(nodes.select("node", "fp", "size", "parity"), "node"), "simhash-mixed")
     tested = first
     forest, order = True, 0
     while True:
-        parts = connected_components(linked)
-        placed = cells.join(parts, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        mixed = placed.groupBy("cell").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("cell")
-        mixed = placed.join(mixed, "cell", "left_semi").join(nodes.select("node", "size", "parity"), "node")
-        rest = materialize(_across(mixed, similarity, forest, order).join(tested, ["a", "b"], "left_anti"), "simhash-pairs")
+        rest = materialize(_across(late, similarity, forest, order).join(tested, ["a", "b"], "left_anti"), "simhash-pairs")
         more = _similar(rest, texts, similarity, width)
-        linked, tested = linked.unionByName(more), tested.unionByName(rest)
+        found = not more.isEmpty()
+        if found:
+            last, late = late, materialize(late.join(_joined(more), "root", "left").withColumn("root", F.coalesce("to", "root")).drop("to"), "simhash-mixed")
+            drop_materialized(last)
+        drop_materialized(more)
         if not forest:
             break
+        tested = tested.unionByName(rest.select("a", "b"))
         # a pair that isn't similar may stand for some that are; another order has others
         order += 1
-        forest = order < ORDERS and not more.isEmpty()
-    drop_materialized(cells)
-    roots = nodes.select("node", "least").join(connected_components(linked), "node", "left").withColumn("root", F.coalesce("root", "node"))
+        forest = order < ORDERS and found
+    placed = nodes.select("node", "least").join(early.select("node", F.col("root").alias("early")), "node", "left").join(late.select("node", F.col("root").alias("late")), "node", "left")
+    roots = placed.withColumn("root", F.coalesce("late", "early", "node"))
     stays = roots.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.key").alias(own))
     return keyed.join(stays, own, "left_semi").dropDuplicates([own]).drop(own)

@@ -438,6 +438,34 @@ def test_near_copies_are_found_by_the_grid_join_only(spark, monkeypatch):
     assert {r["doc_id"] for r in simhash.keep_one_similar(df).collect()} == {0, 1, 2}
 
 
+def test_near_copies_in_chains_take_rounds_of_components_once(spark, monkeypatch):
+    words = [f"w{n}" for n in range(2000)]
+    # 200 words each, six further than the one before: only up to three steps apart they are similar
+    chains = [[(100 * c + n, " ".join(f"{c}{w}" for w in words[6 * n : 6 * n + 200])) for n in range(40)] for c in range(3)]
+    df = spark.createDataFrame([r for chain in chains for r in chain[::-1]] + [(1000, "a b c")], "doc_id long, text string")
+    calls, plain = [], simhash.connected_components
+    monkeypatch.setattr(simhash, "connected_components", lambda links: calls.append(1) or plain(links))
+    assert {r["doc_id"] for r in simhash.keep_one_similar(df).collect()} == {0, 100, 200, 1000}
+    assert len(calls) == 1
+
+
+def test_links_join_roots_of_cells(spark):
+    rng = np.random.default_rng(3)
+    a, b = rng.integers(0, 30, (2, 400)) + 100 * (cell := rng.integers(0, 40, 400))
+    forest = simhash._Forest(4000)
+    forest.join(a, b)
+    root = forest.find(np.arange(4000))
+    want = {n: int(root[n]) for n in {*a.tolist(), *b.tolist()} if root[n] != n}
+    df = spark.createDataFrame([(int(c), int(x), int(y)) for c, x, y in zip(cell, a, b)], "cell long, ra long, rb long")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        rows = simhash._joined(df).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert {r["root"]: r["to"] for r in rows} == want and len(rows) == len(want)
+    assert simhash._joined(df.limit(0)).count() == 0
+
+
 # 7 ------------------------------------------------------------------------------------------------------------------
 
 
